@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import embedding_dedup, secret_scans, simhash_dedup, token_counts
+from sitewright.llm import embedding_dedup, secret_scans, simhash_dedup, token_counts, warc
 from sitewright.llm.common import table
 
 
@@ -30,9 +30,22 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_warc_from_arc": """
+            with sized as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+            newest as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as last_id from sized)
+            select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest, case when last_id > page_id then 'revisit' else 'response' end as record_type,
+                   case when last_id > page_id then last_id end as refers_to
+            from newest
+        """,
+    }
