@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import embedding_dedup, secret_scans, simhash_dedup, token_counts, toxicity, warc
+from sitewright.llm import embedding_dedup, pii, secret_scans, simhash_dedup, token_counts, toxicity, warc
 from sitewright.llm.common import table
 
 
@@ -31,6 +31,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.withColumn("spans", pii.all_spans()).select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
