@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import embedding_dedup, packing, pii, secret_scans, simhash_dedup, token_counts, toxicity, warc
+from sitewright.llm import embedding_dedup, fingerprints, packing, pii, secret_scans, simhash_dedup, token_counts, toxicity, warc
 from sitewright.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long")
