@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import embedding_dedup, fingerprints, packing, pii, secret_scans, simhash_dedup, token_counts, toxicity, warc
+from sitewright.llm import embedding_dedup, fingerprints, merge_dropout, packing, pii, secret_scans, simhash_dedup, token_counts, toxicity, warc
 from sitewright.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.round_trips(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
