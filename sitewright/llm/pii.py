@@ -9,7 +9,8 @@ in a window around an entity are candidates to reveal it. Over the whole corpus,
 with document frequencies df. A term whose PMI reaches `remove` x IC discloses the entity and is removed; one that
 reaches `generalise` x IC is generalised to its kind of word. Only pairs seen in `contexts` or more different windows
 count, so that one text and its exact copies can't convict a term. df(t) is counted for candidate terms only, in one
-more pass over the texts that runs if there are candidates.
+more pass over the texts that runs if there are candidates; terms that stand beside too many entities to reach the
+threshold at any df(t) are no candidates.
 
 Spans come from pairs of regexp_extract_all and split: they see the same matches, and the lengths of the pieces give
 positions in code points. The patterns are written so that Java's matcher needs neither backtracking over long runs nor
@@ -104,22 +105,22 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", contexts: int
     seen = base.where(F.size("near") > 0).select("row", F.explode("near").alias("n"))
     seen = seen.select("row", F.concat_ws(":", F.col("n.kind").cast("string"), "n.value").alias("entity"), F.xxhash64(F.transform("n.words", lambda w: w.value)).alias("context"), "n.words")
     pairs = seen.select("row", "entity", "context", F.explode("words").alias("w")).select("row", "entity", "context", F.lower("w.value").alias("term"), "w.start", "w.end", "w.value")
-    candidates = written(
-        pairs.groupBy("entity", "term", "context").agg(F.count_distinct("row").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("contexts")).where(F.col("contexts") >= contexts),
-        "candidates",
-    )
+    total = float(base.count())
+    of_entity = seen.groupBy("entity").agg(F.count_distinct("row").alias("of_entity"))
+    at_least = pairs.groupBy("term").agg(F.count_distinct("row").alias("at_least"))
+    grouped = pairs.groupBy("entity", "term", "context").agg(F.count_distinct("row").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("contexts")).where(F.col("contexts") >= contexts)
+    worth = F.log2(F.lit(total) / F.col("of_entity"))
+    told = lambda of_term: F.log2(F.lit(total) * F.col("both") / (F.col("of_entity") * F.col(of_term)))
+    # df(t) is no less than the rows that have t beside any entity: what can't reach the threshold even then is out.
+    candidates = written(grouped.join(of_entity, "entity").join(at_least, "term").where((worth > 0) & (told("at_least") >= generalise * worth)), "candidates")
     if candidates.isEmpty():
         flagged = candidates.select("entity", "term", F.lit(None).cast("string").alias("level"))
     else:
-        total = base.count()
-        of_entity = seen.groupBy("entity").agg(F.count_distinct("row").alias("of_entity"))
         terms = candidates.select("term").distinct()
         words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)))).alias("term"))
-        of_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
-        worth = F.log2(F.lit(float(total)) / F.col("of_entity"))
-        told = F.log2(F.lit(float(total)) * F.col("both") / (F.col("of_entity") * F.greatest("of_term", "both")))
-        rated = candidates.join(of_entity, "entity").join(of_term, "term").where(worth > 0)
-        flagged = rated.select("entity", "term", F.when(told >= remove * worth, "remove").when(told >= generalise * worth, "generalise").alias("level")).where("level is not null")
+        of_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("counted"))
+        rated = candidates.join(of_term, "term").withColumn("of_term", F.greatest("counted", "at_least"))
+        flagged = rated.select("entity", "term", F.when(told("of_term") >= remove * worth, "remove").when(told("of_term") >= generalise * worth, "generalise").alias("level")).where("level is not null")
     spans = pairs.join(written(flagged, "flagged"), ["entity", "term"]).groupBy("row", "start", "end", "value").agg(F.max("level").alias("level"))
     by_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "level"))).alias("terms"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,level:string>>")
