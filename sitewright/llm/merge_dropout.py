@@ -11,6 +11,10 @@ text, one of VARIANTS. Equal inputs therefore give equal segmentations on any cl
 word is cut differently from place to place. A rate of 0 gives the library's own segmentation. Every segmentation decodes
 to the text it came from; a U+2581 that the text itself holds becomes byte pieces, so it does too.
 
+A batch of texts is encoded in step: its different units of like length lie in a matrix, and in each round every unit
+works off the next candidate of its own agenda. Units that are long or hold characters outside the vocabulary go through
+the same agenda one by one.
+
 Nulls: a null text is empty and has no pieces. A null doc_id counts as 0 for the hash. Repeated rows give equal results.
 An empty table gives an empty result.
 """
@@ -38,6 +42,45 @@ SLOTS = 1 << 16
 SHORT = 48
 SPACE = "▁"
 CACHED = 300_000
+WIDTHS = (6, 8, 10, 12, 16, 24, SHORT)
+NONE = np.iinfo(np.int32).max
+
+
+class Pairs:
+    """Which piece two pieces make, as an open hash table for arrays of pairs."""
+
+    BITS = 20
+
+    def __init__(self, ids: dict[str, int]) -> None:
+        made = {(ids[p[:k]], ids[p[k:]]): piece for p, piece in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        size = 1 << self.BITS
+        while size < 4 * len(made):
+            size *= 2
+        self.mask = size - 1
+        self.keys, self.values = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        places = self._place(np.array([a << 32 | b for a, b in made], np.int64)).tolist()
+        for (a, b), at in zip(made, places):
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.mask
+            self.keys[at], self.values[at] = a << 32 | b, made[a, b]
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key ^ (key >> 32) * 40503) * 2654435761 >> 12) & self.mask
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece each pair makes, -1 for none."""
+        key = left.astype(np.int64) << 32 | right
+        at = self._place(key)
+        seen = self.keys[at]
+        out = np.where(seen == key, self.values[at], -1)
+        open_ = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            seen = self.keys[at[open_]]
+            hit = seen == key[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
 
 
 class Codec:
@@ -55,13 +98,23 @@ class Codec:
                 self.scores[piece] = -model.get_score(k)
         if any(SPACE in piece.lstrip(SPACE) for piece in self.ids) or len(self.byte_ids) != 256:
             raise ValueError("pieces with a space inside, or no byte pieces")
-        self.bytes_of = {k: b for b, k in self.byte_ids.items()}
-        self.shown = [piece.replace(SPACE, " ") for piece in self.pieces]
+        bytes_of = {k: bytes([b]) for b, k in self.byte_ids.items()}
+        self.shown = [bytes_of.get(k) or piece.replace(SPACE, " ").encode() for k, piece in enumerate(self.pieces)]
+        self.pairs = Pairs(self.ids)
+        self.letters = np.full(0x110000, -1, np.int32)
+        for piece, k in self.ids.items():
+            if len(piece) == 1:
+                self.letters[ord(piece)] = k
+        order = {x: k for k, x in enumerate(sorted(set(self.scores.values())))}
+        self.turn = np.full(len(self.pieces) + 1, NONE, np.int32)  # when a piece's turn comes; never for the piece -1
+        for piece, k in self.ids.items():
+            self.turn[k] = order[self.scores[piece]]
         lone = "\n" if not any("\n" in piece for piece in self.ids) else ""
         self.units = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         # The keyed hash of a candidate, one table of SLOTS verdicts for each variant.
         random = np.random.Generator(np.random.Philox(key=seed))
-        self.seed, self.verdicts = seed, [(random.random(SLOTS) < rate).tobytes() for _ in range(VARIANTS)]
+        self.seed, self.verdict_table = seed, random.random((VARIANTS, SLOTS)) < rate
+        self.verdicts = [row.tobytes() for row in self.verdict_table]
         self.cache: dict[tuple[str, int], tuple[int, ...]] = {}
         self.plain: dict[str, tuple[tuple[int, ...], tuple[tuple[int, int], ...]]] = {}
 
@@ -173,19 +226,116 @@ class Codec:
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return ((x ^ (x >> np.uint64(31))) % np.uint64(VARIANTS)).tolist()
 
+    def encode_units(self, units: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units one after the other, how many each has)."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (units, ids, how many)
+        odd = [np.flatnonzero(sizes > WIDTHS[-1])]
+        for low, width in zip((0, *WIDTHS), WIDTHS):
+            pick = np.flatnonzero((sizes > low) & (sizes <= width))
+            if not len(pick):
+                continue
+            codes = np.array([units[k] for k in pick], f"<U{width}").view(np.uint32).reshape(-1, width)
+            symbols = np.where(np.arange(width) < sizes[pick, None], self.letters[codes], -1)
+            plain = (symbols >= 0).sum(1) == sizes[pick]
+            odd.append(pick[~plain])
+            for at in range(0, int(plain.sum()), 16384):
+                rows = np.flatnonzero(plain)[at : at + 16384]
+                merged = self._merge_in_step(symbols[rows], sizes[pick[rows]], variants[pick[rows]])
+                alive = merged >= 0
+                parts.append((pick[rows], merged[alive], alive.sum(1)))
+        for k in np.concatenate(odd):
+            ids = self.unit(units[k], int(variants[k]))
+            parts.append((np.array([k]), np.array(ids, np.int32), np.array([len(ids)])))
+        if not parts:
+            return np.empty(0, np.int32), np.zeros(0, np.int64)
+        which, ids, many = (np.concatenate(x) for x in zip(*parts))
+        counts = np.zeros(len(units), np.int64)
+        counts[which] = many
+        order = np.argsort(which, kind="stable")
+        return spread(ids, np.cumsum(many) - many, many, order), counts
+
+    def _merge_in_step(self, symbols: np.ndarray, sizes: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        """Pieces at the places of their first characters, -1 elsewhere; one row for each unit."""
+        n, width = symbols.shape
+        out = symbols
+        if width == 1:
+            return out
+        symbols = np.c_[symbols, np.full(n, -1, np.int32)]  # a place that stands for what isn't there
+        makes = np.full((n, width), -1, np.int32)
+        for k in range(width - 1):
+            there = np.flatnonzero(k + 1 < sizes)
+            makes[there, k] = self.pairs(symbols[there, k], symbols[there, k + 1])
+        turn = self.turn[makes]
+        after = np.minimum(np.arange(1, width + 1)[None, :], sizes[:, None])
+        after[after == sizes[:, None]] = width
+        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        rows = np.arange(n)
+        while len(rows):
+            place = turn[rows].argmin(1)
+            going = turn[rows, place] < NONE
+            rows, place = rows[going], place[going]
+            piece = makes[rows, place]
+            skip = self.verdict_table[variants[rows], (piece.astype(np.int64) * 40503 + place * 9973) & (SLOTS - 1)]
+            turn[rows[skip], place[skip]] = NONE
+            r, k, piece = rows[~skip], place[~skip], piece[~skip]
+            gone = after[r, k]
+            far = after[r, gone]
+            symbols[r, k], symbols[r, gone] = piece, -1
+            turn[r, gone] = NONE
+            after[r, k] = far
+            inner = far < width
+            before[r[inner], far[inner]] = k[inner]
+            made = np.full(len(r), -1, np.int32)
+            made[inner] = self.pairs(piece[inner], symbols[r[inner], far[inner]])
+            makes[r, k], turn[r, k] = made, self.turn[made]
+            back = before[r, k]
+            inner = back >= 0
+            r, back = r[inner], back[inner]
+            made = self.pairs(symbols[r, back], piece[inner])
+            makes[r, back], turn[r, back] = made, self.turn[made]
+        return symbols[:, :width]
+
+    def encode_batch(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin, and the end)."""
+        known: dict[str, int] = {}
+        numbers, variants, ends = [], [], [0]
+        for text, key in zip(texts, keys):
+            start, place = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), self.seed), 0
+            for number, part in enumerate((" " + text).split(SPACE) if text else ()):
+                units = self.units.findall(part.replace(" ", SPACE))
+                if number:  # the text's own U+2581
+                    numbers.append(np.array([-1], np.int64))
+                    variants.append(np.zeros(1, np.int64))
+                numbers.append(np.fromiter((known.setdefault(u, len(known)) for u in units), np.int64, len(units)))
+                variants.append(np.array(self.variants(start, place, len(units)), np.int64))
+                place += len(units)
+            ends.append(len(numbers))
+        if not numbers:
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        lengths = np.r_[0, np.cumsum([len(x) for x in numbers])]
+        wanted = np.concatenate(numbers) * VARIANTS + np.concatenate(variants)
+        pairs, inverse = np.unique(wanted, return_inverse=True)
+        names = list(known)
+        own = pairs < 0  # the text's own U+2581
+        ids, counts = self.encode_units([names[k] for k in pairs[~own] // VARIANTS], pairs[~own] % VARIANTS)
+        if own.any():
+            marks = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32)
+            ids, counts = np.r_[np.tile(marks, int(own.sum())), ids], np.r_[np.full(int(own.sum()), len(marks)), counts]
+        flat = spread(ids, np.cumsum(counts) - counts, counts, inverse)
+        sums = np.r_[0, np.cumsum(counts[inverse])]
+        return flat, sums[lengths[ends]]
+
     def decode(self, ids: list[int]) -> str:
         """The text, without the space in front."""
-        if self.bytes_of.keys().isdisjoint(ids):
-            return "".join(map(self.shown.__getitem__, ids))[1:]
-        shown, bytes_of = self.shown, self.bytes_of
-        out = bytearray()
-        for k in ids:
-            b = bytes_of.get(k)
-            if b is None:
-                out += shown[k].encode()
-            else:
-                out.append(b)
-        return out.decode()[1:]
+        return b"".join(map(self.shown.__getitem__, ids)).decode()[1:]
+
+
+def spread(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + count] one after the other, in the given order."""
+    many = counts[order]
+    ends = np.cumsum(many)
+    return values[np.repeat(starts[order] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 @lru_cache(4)
@@ -206,8 +356,8 @@ def encoded(docs: DataFrame, path: str | None = None, rate: float = RATE, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, rate, seed)
         for batch in batches:
-            ids = [use.encode(t, doc or 0) for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids, ends = use.encode_batch(batch.column(1).to_pylist(), [doc or 0 for doc in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
     return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("t")), run, "doc_id long, ids array<int>")
 
@@ -231,12 +381,13 @@ def round_trips(docs: DataFrame, path: str | None = None, rate: float = RATE, se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, rate, seed)
         for batch in batches:
-            sizes, digests, same = [], [], []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = use.encode(t, doc or 0)
-                sizes.append(len(ids))
-                digests.append(hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
-                same.append(use.decode(ids) == t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "lossless"])
+            texts = batch.column(1).to_pylist()
+            flat, ends = use.encode_batch(texts, [doc or 0 for doc in batch.column(0).to_pylist()])
+            digests, same = [], []
+            for t, a, b in zip(texts, ends, ends[1:]):
+                ids = flat[a:b]
+                digests.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
+                same.append(use.decode(ids.tolist()) == t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "lossless"])
 
     return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("t")), run, "doc_id long, n_pieces long, ids_sha256 string, lossless boolean")
