@@ -78,7 +78,7 @@ def stems(line: str) -> set[str]:
     out = set()
     for word in set(line.split()):
         out.add(f" {word} ")
-        out.update(f" {word[:k]}" for k in STEMS if k < len(word))
+        out.update(f" {word[:k]}" for k in STEMS if k <= len(word))
     return out
 
 
@@ -179,10 +179,10 @@ def chosen_terms(terms: list[tuple[str, int, int]], clean_rows: int, toxic_rows:
     for term, clean, toxic in terms:
         weight = math.log((toxic + 0.5) / (toxic_rows + 1)) - math.log((clean + 0.5) / (clean_rows + 1))
         if toxic >= SUPPORT and weight >= LEAST_WEIGHT:
-            rated.append((-toxic * weight, len(term), term, weight))
+            rated.append((-toxic * weight, -len(term.rstrip()), len(term), term, weight))  # of equals the longest beginning, whole word or not
     found: dict[str, float] = {}
     begun: set[str] = set()
-    for _, _, term, weight in sorted(rated):
+    for *_, term, weight in sorted(rated):
         if len(found) == entries:
             break
         if term not in begun and not any(term[:k] in found for k in range(2, len(term))):
