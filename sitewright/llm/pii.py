@@ -116,9 +116,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", contexts: int
     if candidates.isEmpty():
         flagged = candidates.select("entity", "term", F.lit(None).cast("string").alias("level"))
     else:
-        terms = candidates.select("term").distinct()
         words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)))).alias("term"))
-        of_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("counted"))
+        of_term = words.groupBy("term").agg(F.count("*").alias("counted"))  # each task adds up its words before they meet a candidate
         rated = candidates.join(of_term, "term").withColumn("of_term", F.greatest("counted", "at_least"))
         flagged = rated.select("entity", "term", F.when(told("of_term") >= remove * worth, "remove").when(told("of_term") >= generalise * worth, "generalise").alias("level")).where("level is not null")
     spans = pairs.join(written(flagged, "flagged"), ["entity", "term"]).groupBy("row", "start", "end", "value").agg(F.max("level").alias("level"))
