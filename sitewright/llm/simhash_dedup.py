@@ -196,7 +196,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs)
     ids = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # Texts are dealt by doc_id at every size: the ids that stay are most of the table, so sending them everywhere has no bound.
+    kept = docs.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     twice = ids.where("rows > 1").select("doc_id")
     if not twice.isEmpty():
         kept = kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
