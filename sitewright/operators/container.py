@@ -131,19 +131,18 @@ def assemble(counts: DataFrame, sites: DataFrame, barcodes: DataFrame, stranded:
     return SiteMatrix(obs, var, entries, tuple(layers), FORWARD_LAYERS[0])
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Consecutive numbers from 0 in a global order, without one task that sees all rows.
+def numbered(df: DataFrame, order: list[str], name: str, width: int = 1 << 16) -> DataFrame:
+    """Consecutive numbers from 0 in the order of the columns, the last of which is a whole number, as positions are.
 
-    Rows are dealt by ranges; a window numbers each range, and the ranges' sizes are added up on a table with a row for
-    each range.
+    Rows are cut into bins of `width` by that column. A window numbers each bin; the bins' sizes are added up on a table
+    with one row for each bin. Nothing depends on a sample or on how tasks fall, so a retried task gives the same numbers.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
-    local = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    return local.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__k") - 1).cast("bigint")).drop("__part", "__n", "__start", "__k")
+    bins = [*(F.col(c).alias(f"__{k}") for k, c in enumerate(order[:-1])), F.floor(F.col(order[-1]) / width).alias("__bin")]
+    binned = df.withColumn("__at", F.struct(*bins))
+    before = Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = binned.groupBy("__at").agg(F.count("*").alias("__n")).select("__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    local = binned.withColumn("__k", F.row_number().over(Window.partitionBy("__at").orderBy(*order)))
+    return local.join(starts, "__at").withColumn(name, (F.col("__start") + F.col("__k") - 1).cast("bigint")).drop("__at", "__start", "__k")
 
 
 def triplet_layers(matrix: SiteMatrix) -> DataFrame:

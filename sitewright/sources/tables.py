@@ -68,7 +68,7 @@ def read_barcodes(spark: SparkSession, path: str, trim: bool = True) -> DataFram
     cleaned = F.regexp_replace("value", r"^\s+|\s+$", "") if trim else F.col("value")
     kept = lines.select(F.substring_index(cleaned, "-", 1).alias("barcode"), F.struct("file", "block", "line").alias("place")).where("barcode <> ''")
     first = kept.groupBy("barcode").agg(F.min("place").alias("place"))
-    return numbered(first, ["place"], "cell_id").select("barcode", "cell_id")
+    return numbered(first.select("barcode", "place.*"), ["file", "block", "line"], "cell_id").select("barcode", "cell_id")
 
 
 def barcodes_from(spark: SparkSession, barcodes: list[str]) -> DataFrame:

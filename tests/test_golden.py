@@ -198,8 +198,14 @@ def test_containers(spark):
 
 
 def test_numbers_in_order(spark):
-    rows = spark.createDataFrame([(f"k{k:03d}",) for k in range(97, -1, -1)], "k string").repartition(7)
-    assert tuples(numbered(rows, ["k"], "n")) == [(f"k{k:03d}", k) for k in range(98)]
+    import random
+
+    rows = [(c, p) for c in ("b", "a", None) for p in random.Random(3).sample(range(0, 3000, 3), 80)]
+    frame = spark.createDataFrame(rows, "c string, p long").repartition(7)
+    expected = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    for width in (1, 64, 1 << 16):
+        assert [tuple(r) for r in numbered(frame, ["c", "p"], "n", width).orderBy("n").select("c", "p", "n").collect()] == [(*r, k) for k, r in enumerate(expected)]
+    assert numbered(frame.where("false"), ["c", "p"], "n").count() == 0
 
 
 TRIPLETS = "row long, col long, value long"
