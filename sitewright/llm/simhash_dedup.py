@@ -8,6 +8,12 @@ whole group as soon as the sum exceeds the radius. A block value that very many
 `tile` rows, and each pair of runs meets in a task of its own. A shard returns a spanning forest of its links and never
 the pairs themselves.
 
+`near_copies` is the operator's general form, for near-duplicates of a given similarity (0.8 on sets of 5-word
+shingles). At that similarity some ten of 64 bits differ, which no exact table of blocks can serve. Its fingerprints
+have 256 bits, the radius is what the similarity stands for, and tables of sampled bits, as many as catch 95 of 100
+pairs right at the threshold (nearly all above it), deal the fingerprints to shards; a shard's index searches the first
+64 bits, and pairs are checked on all 256. Links of the exact form count besides.
+
 Nulls: a null text is an empty text, with fingerprint zero, which links like any other. Rows with a null doc_id get a
 fingerprint and take part in links; component_id is the smallest doc_id that is not null (null if there is none).
 Repeated rows give repeated results. An empty table gives an empty result.
@@ -15,6 +21,7 @@ Repeated rows give repeated results. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -34,6 +41,12 @@ SEED = 42
 BLOCK_BITS = 16
 FANOUT = 8
 VOTES_AT_A_TIME = 65536
+QUERIES_AT_A_TIME = 512
+SIMILARITY, COPY_SHINGLE = 0.8, 5
+WORDS = 4
+WIDE = ("w0", "w1", "w2", "w3")
+FIRST_RADIUS = 20
+MISSED = 0.05
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -100,13 +113,12 @@ class GrayIndex:
                 all_bits = all_bits & ~np.repeat(above, FANOUT)[: len(a)]
             self.own_bits.append(all_bits)
 
-    def links(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (i, j), i < j, of places in one shard (start <= place < stop) that differ in at most radius bits."""
-        query = np.arange(len(codes))
-        found_i, found_j = [], []
+    def links(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j), i < j, of places in one shard (start <= place < stop) that differ in at most radius bits, some queries at a time."""
+        query = np.flatnonzero(stop - start > 1)
         height = len(self.pattern) - 1
-        for at in range(0, len(query), 4096):
-            q = query[at : at + 4096]
+        for at in range(0, len(query), QUERIES_AT_A_TIME):
+            q = query[at : at + QUERIES_AT_A_TIME]
             level, node, total = height, np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
             while True:
                 total = total + np.bitwise_count((codes[q] ^ self.pattern[level][node]) & self.own_bits[level][node])
@@ -120,22 +132,34 @@ class GrayIndex:
                 node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 inside = node < len(self.pattern[level])
                 q, node, total = q[inside], node[inside], total[inside]
-            if level == 0:
-                found_i.append(q)
-                found_j.append(node)
-        return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.empty(0, np.int64),) * 2
+            if level == 0 and len(q):
+                yield q, node
 
 
-def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each shard: pairs of fingerprints."""
+def shard_forest(shard: np.ndarray, fp: np.ndarray, radius: int, words: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each shard: pairs of places. words: all words of the fingerprints, to be checked besides."""
     order = np.lexsort((gray_rank(fp), shard))
     shard, fp = shard[order], fp[order]
+    words = None if words is None else words[order]
     first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     sizes = np.diff(np.r_[first, len(shard)])
-    i, j = GrayIndex(fp).links(fp, np.repeat(first, sizes), np.repeat(first + sizes, sizes), radius)
-    root = forest(len(fp), i, j)
+    root = np.arange(len(fp))
+    for i, j in GrayIndex(fp).links(fp, np.repeat(first, sizes), np.repeat(first + sizes, sizes), radius):
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        if words is not None and len(i):
+            near = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64) <= wide_radius
+            i, j = i[near], j[near]
+        if len(i):
+            root = forest(len(fp), root[i], root[j])[root]
     moved = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[moved], fp[root[moved]]
+    return order[moved], order[root[moved]]
+
+
+def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The forest as pairs of fingerprints."""
+    i, j = shard_forest(shard, fp, radius)
+    return fp[i], fp[j]
 
 
 def near_links(codes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -189,12 +213,122 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     return prints.join(of_code, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+# --- copies of a given similarity
+
+
+def wide_simhash(text: bytes, size: int = COPY_SHINGLE) -> np.ndarray:
+    """256 bits, as four words, from the set of a text's shingles."""
+    hashes = np.unique(shingle_hashes(text, size))
+    votes = np.zeros((WORDS, 64), np.int64)
+    for word in range(WORDS):
+        for at in range(0, len(hashes), VOTES_AT_A_TIME):
+            x = (hashes[at : at + VOTES_AT_A_TIME] ^ np.uint64(word)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            votes[word] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which fingerprints of sets with this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tables_for(codes: int, similarity: float) -> tuple[int, int]:
+    """(bits of a table's key, tables): some 64 fingerprints a key, and few pairs at the threshold that meet nowhere."""
+    bits = min(24, max(8, codes.bit_length() - 6))
+    return bits, math.ceil(math.log(MISSED) / math.log1p(-((1 - differing(similarity)) ** bits)))
+
+
+def table_keys(words: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """n x tables: the sampled bits of each table, beside the table's number."""
+    flags = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+    out = np.empty((len(words), tables), np.int64)
+    for table in range(tables):
+        chosen = np.random.default_rng([SEED, table]).choice(64 * WORDS, bits, replace=False)
+        out[:, table] = (flags[:, chosen].astype(np.int64) << np.arange(bits)).sum(1) | table << 32
+    return out
+
+
+def similar_links(codes: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """codes(uid, w0..w3, distinct) -> links (a, b) of uids whose components are those of the similar pairs that meet."""
+    spark = codes.sparkSession
+    bits, tables = tables_for(codes.count(), similarity)
+    radius = round(64 * WORDS * differing(similarity))
+    words_of = lambda batch, at: np.stack([batch.column(at + k).to_numpy() for k in range(WORDS)], 1).view(np.uint64)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = table_keys(np.ascontiguousarray(words_of(batch, 1)), bits, tables)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["uid", *WIDE, "keys"])
+
+    kinds = "uid long, w0 long, w1 long, w2 long, w3 long"
+    each = map_batches(codes.select("uid", *WIDE), keyed, f"{kinds}, keys array<long>").select("uid", *WIDE, F.explode("keys").alias("key"))
+    crowded = each.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).alias("runs"))
+    runs = F.coalesce("runs", F.lit(1))
+    each = each.join(crowded, "key", "left").select("uid", *WIDE, "key", runs.alias("runs"), F.pmod(F.xxhash64("uid"), runs).alias("run"))
+    tiles = each.select("uid", *WIDE, "key", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("other"))
+    place = ["key", "low", "high"]
+    tiles = tiles.select("uid", *WIDE, "key", F.least("run", "other").alias("low"), F.greatest("run", "other").alias("high"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+            where = np.stack([rows.column(k).to_numpy() for k in range(5, 8)], 1)
+            shard = np.cumsum(np.r_[True, (where[1:] != where[:-1]).any(1)])
+            words = np.ascontiguousarray(words_of(rows, 1))
+            i, j = shard_forest(shard, words[:, 0], FIRST_RADIUS, words, radius)
+            uid = rows.column(0).to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(uid[i]), pa.array(uid[j])], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 16384:  # all rows of a tile stay together
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                where = np.stack([rows.column(k).to_numpy() for k in range(5, 8)], 1)
+                cut = int(np.argmax((where == where[-1]).all(1)))
+                if cut:
+                    yield out(rows.slice(0, cut))
+                held = [rows.slice(cut)]
+        if held:
+            yield out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    together = tiles.repartition(shuffle_partitions(spark), *place).sortWithinPartitions(*place)
+    return map_batches(together, run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(doc_id, component_id) for each row: components of links of either form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            narrow = np.array([simhash(t) for t in texts], np.uint64).view(np.int64)
+            wide = np.array([wide_simhash(t) for t in texts], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(narrow), *(pa.array(wide[:, k]) for k in range(WORDS))], names=["doc_id", "fp", *WIDE])
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t"))
+    prints = written(map_batches(rows, run, "doc_id long, fp long, w0 long, w1 long, w2 long, w3 long"), "prints")
+    codes = written(prints.groupBy("fp", *WIDE).agg(F.min("doc_id").alias("first_id")).withColumn("uid", F.monotonically_increasing_id()), "codes")
+    exact = written(components(near_links(codes.select("fp").distinct(), RADIUS, tile)), "exact")
+    grouped = codes.join(exact, codes.fp == exact.node, "left").select("uid", F.coalesce("root", "fp").alias("g"))
+    of_print = grouped.join(grouped.groupBy("g").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1"), "g").select(F.col("uid").alias("a"), "b")
+    # Fingerprints of one set of shingles are one entry of the similarity search.
+    sets = written(codes.groupBy(*WIDE).agg(F.min("uid").alias("uid")), "sets")
+    of_set = codes.join(sets.withColumnRenamed("uid", "b"), list(WIDE)).select(F.col("uid").alias("a"), "b")
+    roots = written(components(of_print.unionByName(of_set).unionByName(similar_links(sets, similarity, tile))), "roots")
+    named = codes.join(roots, codes.uid == roots.node, "left").select("fp", *WIDE, "first_id", F.coalesce("root", "uid").alias("root"))
+    known = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", *WIDE, "component_id")
+    return prints.join(known, ["fp", *WIDE]).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near-duplicates: of each component the document with the smallest doc_id stays, once.
 
     Rows without a doc_id can't be told apart from here and stay.
     """
-    found = near_duplicates(docs)
+    found = near_copies(docs, similarity=similarity)
     ids = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
     # Texts are dealt by doc_id at every size: the ids that stay are most of the table, so sending them everywhere has no bound.
     kept = docs.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)

@@ -2,7 +2,7 @@ import pytest
 
 from sitewright.llm import packing, secret_scans, toxicity
 from tests.llm.fixtures import as_rows, docs
-from tests.llm.test_simhash_dedup import classes, plain_print
+from tests.llm.test_simhash_dedup import copy_classes
 from tests.llm.test_toxicity import corpus
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -29,7 +29,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
     first.write.parquet(f"{tmp_path}/1")
     second = pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/1"), str(tmp_path))
     texts = dict(good)
-    keep = set(classes({d: plain_print(t) for d, t in texts.items()}).values())
+    keep = set(copy_classes(texts).values())
     assert as_rows(second, "doc_id") == sorted([(d,) for d in keep], key=repr) and second.columns == frame.columns
     second.write.parquet(f"{tmp_path}/2")
     third = pipeline.redact_secrets(spark, spark.read.parquet(f"{tmp_path}/2"), str(tmp_path))

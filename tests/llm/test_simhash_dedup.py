@@ -44,7 +44,7 @@ def test_gray_order_and_index():
     order = np.argsort(simhash_dedup.gray_rank(near))
     near = near[order]
     n = len(near)
-    i, j = simhash_dedup.GrayIndex(near).links(near, np.zeros(n, int), np.full(n, n), 3)
+    i, j = (np.concatenate(x) for x in zip(*simhash_dedup.GrayIndex(near).links(near, np.zeros(n, int), np.full(n, n), 3)))
     brute = {(a, b) for a in range(n) for b in range(a + 1, n) if int(near[a] ^ near[b]).bit_count() <= 3}
     assert set(zip(i.tolist(), j.tolist())) == brute
 
@@ -92,11 +92,62 @@ def test_table_by_brute_force(spark, tmp_path):
     assert all(r.fingerprint == f"{prints[r.doc_id]:016x}" and r.component_id == expected[r.doc_id] for r in rows if r.doc_id is not None)
 
 
+def copy_classes(texts):
+    """Smallest id by id, of all pairs: at most 3 bits apart, or 256-bit fingerprints as near as similarity 0.8 has them."""
+    prints = {d: plain_print(t) for d, t in texts.items()}
+    wide = {d: simhash_dedup.wide_simhash((t or "").encode()) for d, t in texts.items()}
+    radius = round(256 * simhash_dedup.differing(0.8))
+    parent = {k: k for k in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and ((prints[a] ^ prints[b]).bit_count() <= 3 or int(np.bitwise_count(wide[a] ^ wide[b]).sum()) <= radius):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {k: root(k) for k in texts}
+
+
+def edited(text, share, seed):
+    rng = random.Random(seed)
+    return " ".join("zz" if rng.random() < share else w for w in text.split())
+
+
+def test_similar_copies(spark):
+    """Nearly all copies of similarity 0.8 and more are found, whatever the tile; strangers stay apart."""
+    rows = [(k, words(1000 + k, 300)) for k in range(60)]
+    rows += [(100 + k, edited(rows[k][1], share, k)) for k, share in enumerate([0.003, 0.01, 0.015] * 20)]
+    shingles = {d: {" ".join(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    jaccard = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    for tile in (16, 2048):
+        found = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(docs(spark, rows), tile=tile).collect()}
+        similar = [k for k in range(60) if jaccard(k, 100 + k) >= 0.85]
+        assert len(similar) > 40 and sum(found[100 + k] == k for k in similar) >= 0.9 * len(similar)
+        assert all(found[k] == k for k in range(60))
+        assert all(found[d] in (d, d - 100) for d in found if d >= 100)
+
+
+def test_wide_fingerprints_measure_similarity():
+    bits, tables = simhash_dedup.tables_for(10**6, 0.8)
+    assert bits == 14 and 1 - (1 - (1 - simhash_dedup.differing(0.8)) ** bits) ** tables >= 0.95
+    for seed, share in enumerate((0.0, 0.01, 0.02, 0.04)):
+        text = words(seed, 3000)
+        other = edited(text, share, seed)
+        a, b = ({" ".join(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (text, other))
+        expected = simhash_dedup.differing(len(a & b) / len(a | b))
+        measured = int(np.bitwise_count(simhash_dedup.wide_simhash(text.encode()) ^ simhash_dedup.wide_simhash(other.encode())).sum()) / 256
+        assert abs(measured - expected) < 0.08
+
+
 def test_one_of_each(spark):
     frame = docs(spark)
     kept = simhash_dedup.one_of_each(frame)
-    prints = {r.doc_id: plain_print(r.text) for r in frame.collect() if r.doc_id is not None}
-    assert as_rows(kept, "doc_id") == sorted([(d,) for d in set(classes(prints).values())] + [(None,)], key=repr)
+    expected = copy_classes({r.doc_id: r.text for r in frame.collect() if r.doc_id is not None})
+    assert as_rows(kept, "doc_id") == sorted([(d,) for d in set(expected.values())] + [(None,)], key=repr)
     assert kept.columns == frame.columns
     assert simhash_dedup.one_of_each(frame.where("false")).count() == 0
 
