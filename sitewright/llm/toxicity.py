@@ -11,7 +11,7 @@ cost of training don't grow with the corpus. Seven in ten sampled rows give the
 the weight of the rows they stand for.
 
 Nulls: a null text is an empty text and gets a score. A row without a doc_id is not held out, and can't be trained on.
-Labels that are null, or of which a document has two, don't count. Without labels of both kinds the lexicon is empty and
+Labels that are null, or of which a document has two, don't count; of a repeated doc_id one text is learned from. Without labels of both kinds the lexicon is empty and
 the score is the share of toxic labels (0 without labels).
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import map_batches, text_of
+from sitewright.llm.common import map_batches, text_of, written
 
 BOUND = 4000
 ENTRIES = 2000
@@ -134,8 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     share = {y: min(1.0, bound / n) for y, n in counts.items()}
     draw = F.pmod(F.xxhash64("id"), F.lit(SCALE))
     chosen = known.where(F.when(F.col("y") == 1, draw < int(share[1] * SCALE)).otherwise(draw < int(share[0] * SCALE)))
-    # At most `bound` rows of each label on average: small enough to send everywhere.
-    rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t")).join(F.broadcast(chosen), "id").select("y", "t", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)) < 7).alias("first"))
+    # At most `bound` numbers of each label on average: small enough to send everywhere. One text for each, so that a
+    # repeated doc_id doesn't swell the sample; written, so that the documents are read once.
+    sample = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
+    rows = written(sample, "sample").select("y", "t", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)) < 7).alias("first"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
