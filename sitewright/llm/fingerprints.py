@@ -13,6 +13,9 @@ very many entries share is cut into runs that meet in tasks of their own.
 `with_next` gives each row of a table its successor by doc_id without bringing the table together: rows are dealt by
 ranges of doc_id and sorted there; the last row of a range, whose successor is elsewhere, is handed on as an exception.
 
+`near_counts` gives how many rows each query has within the radius, not the pairs: the tables' runs are searched in place,
+and a pair counts in the first table where its blocks agree.
+
 Nulls: a null text is an empty text, with no terms and the fingerprint of all zeros. Rows without a doc_id come first
 in the order. Rows with the same doc_id follow each other in the order of their texts. A table of one row is its own
 successor. An empty table gives an empty result.
@@ -37,6 +40,7 @@ from sitewright.llm.common import map_batches, shuffle_partitions, text_of, writ
 BITS = 128
 PAIR_WEIGHT, WORD_WEIGHT = 4, 1
 TILE = 2048
+RADIUS = 3
 _TABLE = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), 1, -1).astype(np.int32)
 
 
@@ -141,7 +145,88 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 # --- search
 
 
-def near(prints: DataFrame, queries: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """prints, queries (fingerprint string, in hex) -> (fingerprint, near): rows of prints within the radius of each different query."""
+    if not 2 <= radius <= 7:
+        raise ValueError("radius 2 to 7, for blocks of 16 to 43 bits")
+    spark = prints.sparkSession
+
+    def entries(df: DataFrame, asked: bool) -> DataFrame:
+        return df.where(F.col("fingerprint").rlike(f"^[0-9a-f]{{{BITS // 4}}}$")).groupBy(F.unhex("fingerprint").alias("fp")).agg(F.count("*").alias("rows")).select("fp", "rows", F.lit(asked).alias("asked"))
+
+    def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = blocks_of(batch.column(0).to_pylist(), radius + 1)
+            keys = [block.astype(np.int64) ^ (k << 56) for k, block in enumerate(blocks)]
+            many = radius + 1
+            each = pa.array(np.repeat(np.arange(batch.num_rows), many))
+            yield pa.RecordBatch.from_arrays([*(c.take(each) for c in batch.columns), pa.array(np.stack(keys, 1).ravel()), pa.array(np.tile(np.arange(many, dtype=np.int32), batch.num_rows))], names=["fp", "rows", "asked", "front", "block"])
+
+    kinds = "fp binary, rows long, asked boolean"
+    dealt = map_batches(entries(prints, False).unionByName(entries(queries, True)), fronts, f"{kinds}, front long, block int")
+    crowded = dealt.where("not asked").groupBy("front").count().where(F.col("count") > tile).select("front", F.ceil(F.col("count") / tile).alias("runs"))
+    runs = F.coalesce("runs", F.lit(1))
+    every = F.sequence(F.lit(0).cast("long"), runs - 1)
+    # A query goes to each run of its block, an entry to one.
+    placed = dealt.join(crowded, "front", "left").select("fp", "rows", "asked", "front", "block", F.explode(F.when(F.col("asked"), every).otherwise(F.array(F.pmod(F.xxhash64("fp"), runs)))).alias("run"))
+    together = placed.repartition(shuffle_partitions(spark), "front", "run").sortWithinPartitions("front", "run")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+            fps, found = rows.column(0).to_pylist(), []
+            words = np.frombuffer(b"".join(fps), ">u8").reshape(-1, 2)
+            weight, asked, block = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 4))
+            front, run = rows.column(3).to_numpy(), rows.column(5).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (front[1:] != front[:-1]) | (run[1:] != run[:-1]), True])
+            has = np.add.reduceat(asked.astype(np.int64), cuts[:-1])
+            for k in np.flatnonzero((has > 0) & (has < np.diff(cuts))):
+                here = np.arange(cuts[k], cuts[k + 1])
+                entry, ask = here[~asked[here]], here[asked[here]]
+                blocks, base = blocks_of(None, radius + 1, words[here]), cuts[k]
+                for q in ask:
+                    near = np.bitwise_count(words[entry] ^ words[q]).sum(1, dtype=np.int64) <= radius
+                    for earlier in range(block[q]):
+                        near &= blocks[earlier][entry - base] != blocks[earlier][q - base]
+                    if near.any():
+                        found.append((fps[q], int(weight[entry[near]].sum())))
+            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["fp", "near"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 16384:  # all rows of a run stay together
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                where = np.stack([rows.column(k).to_numpy() for k in (3, 5)], 1)
+                cut = int(np.argmax((where == where[-1]).all(1)))
+                if cut:
+                    yield out(rows.slice(0, cut))
+                held = [rows.slice(cut)]
+        if held:
+            yield out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    found = map_batches(together, search, "fp binary, near long").groupBy("fp").agg(F.sum("near").alias("near"))
+    wanted = entries(queries, True).select("fp")
+    return wanted.join(found, "fp", "left").select(F.lower(F.hex("fp")).alias("fingerprint"), F.coalesce("near", F.lit(0)).alias("near"))
+
+
+def blocks_of(fps: list[bytes] | None, many: int, words: np.ndarray | None = None) -> list[np.ndarray]:
+    """The blocks of fingerprints, each as a number of at most 64 bits."""
+    words = np.frombuffer(b"".join(fps), ">u8").reshape(-1, 2) if words is None else words
+    high, low = words[:, 0].astype(np.uint64), words[:, 1].astype(np.uint64)
+    cuts = [BITS * k // many for k in range(many + 1)]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        value = np.zeros(len(words), np.uint64)
+        for word, start in ((high, 0), (low, 64)):
+            x, y = max(a, start), min(b, start + 64)
+            if x < y:
+                part = (word >> np.uint64(start + 64 - y)) & np.uint64((1 << (y - x)) - 1)
+                value = (value << np.uint64(y - x)) | part
+        out.append(value)
+    return out
+
+
+def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """prints, queries (fingerprint string) -> (query, fingerprint, distance): the pairs within the radius.
 
     Both are taken as sets; a fingerprint finds itself at distance 0 where it is in both. Malformed or null

@@ -36,7 +36,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+    """n_near: for each doc_id divisible by 20, how many other rows of the table have a fingerprint within 3 bits; else null."""
+    found = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    near = fingerprints.near_counts(found.select("fingerprint"), found.where(asked).select("fingerprint"))
+    rest = found.where(~asked).withColumn("n_near", F.lit(None).cast("long"))
+    return rest.unionByName(found.where(asked).join(near, "fingerprint").withColumn("n_near", F.col("near") - 1).drop("near"))
 
 
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
