@@ -329,3 +329,23 @@ def test_settings(spark):
     for bad in ((0, 20), (20, 0)):
         with pytest.raises(InvalidInput):
             P.edited_site(10, *bad)
+
+
+def test_scripts_from_bases_to_index(spark):
+    from sitewright.plans.legacy import script_call, script_matrix
+
+    rows = [(1, "X", f"u{k}", "G" if k % 4 == 0 else "A", k % 2 == 0) for k in range(12)] + [(2, "X", f"u{k}", "C", False) for k in range(12)] + [(1, "Y", "u", "C", False)]
+    cells = spark.createDataFrame([("X", 0), ("Y", 1)], "barcode string, cell_id long")
+    sites = spark.createDataFrame([("chr1", 1), ("chr1", 2)], "contig string, pos long")
+    m = script_matrix(base_rows(spark, rows), sites, cells, stranded=True)
+    notes = spark.createDataFrame([("chr1:1", {"ref": "A"}), ("chr1:2", {"ref": "C"})], "site string, entry map<string,string>")
+    called = script_call(m, notes, "AG")
+    assert tuples(called.var, "site", "ref", "CoverageP", "CoverageN") == [("chr1:1", "A", 7, 6)]
+    assert tuples(called.obs, "barcode", "ref", "alt", "others", "CEI") == [("X", 9, 3, 0, 0.25), ("Y", 0, 0, 1, 0.0)]
+
+
+def test_contigs_and_positions(spark):
+    from sitewright.operators.bases import filter_positions, standard_contigs
+
+    header = spark.createDataFrame([(0, "chr1"), (1, "CHRM"), (2, "GL1")], "tid long, contig string")
+    assert tuples(standard_contigs(header), "tid") == [(0,), (1,)] and tuples(filter_positions(header, F.col("contig") != "chr1"), "tid") == [(1,), (2,)]
