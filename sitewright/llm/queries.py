@@ -70,6 +70,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_embedding_near_dedup": """
+            with recursive good as (
+                select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+                where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            links as (
+                select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+                where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.95),
+            reach as (select vec_id as id, vec_id as other from embeddings union select reach.id, links.b from reach join links on links.a = reach.other),
+            counts as (select a, count(*) as n from links group by a),
+            roots as (select id, min(other) as root from reach group by id)
+            select vec_id, cast(coalesce(n, 0) as bigint) as n_links, root as component_id, vec_id = root as kept
+            from embeddings join roots on id = vec_id left join counts on a = vec_id
+        """,
         "op10_warc_from_arc": """
             with sized as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
             newest as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as last_id from sized)
