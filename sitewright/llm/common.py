@@ -23,7 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: a lost executor costs no recomputation."""
+    """Write df as Parquet to the shared folder and read it back: a lost executor costs no recomputation.
+
+    Results read such tables when they are used, so they stay until the folder stages/<application id> is removed.
+    """
     return written_at(df, name)[0]
 
 

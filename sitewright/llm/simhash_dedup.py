@@ -1,7 +1,8 @@
 """Near-duplicates by SimHash and a Gray-order hierarchical index (operator 5).
 
 Fingerprints of 64 bits come from 3-word shingles. Distinct fingerprints are dealt to shards by each of their four
-16-bit blocks (two fingerprints that differ in at most three bits agree on one block at least), so no link is lost.
+16-bit blocks (two fingerprints that differ in at most three bits agree on one block at least), so no link is lost. Where
+there are very many, more and smaller blocks are used, and shards by each choice of all but three of them.
 Inside a shard the fingerprints are sorted by Gray rank; runs of neighbours share a masked bit pattern, which is kept
 in their upper node only; a search walks down, adds up the differences found in the patterns on its way, and leaves a
 whole group as soon as the sum exceeds the radius. A block value that very many fingerprints have is cut into runs of
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,6 @@ RADIUS = 3
 SHINGLE = 3
 TILE = 2048
 SEED = 42
-BLOCK_BITS = 16
 FANOUT = 8
 VOTES_AT_A_TIME = 65536
 QUERIES_AT_A_TIME = 512
@@ -162,22 +162,37 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
     return fp[i], fp[j]
 
 
-def near_links(codes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
+    """The bits of each choice of blocks - radius blocks: fingerprints within the radius agree on one choice at least."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
+
+
+def blocks_for(codes: int, radius: int = RADIUS) -> int:
+    """As few blocks as keep shards of evenly spread fingerprints to some 512: 4 up to 3e7, 5 up to 1e10, then 6."""
+    blocks = radius + 1
+    while blocks < radius + 3 and codes >> (64 * (blocks - radius) // blocks) > 512:
+        blocks += 1
+    return blocks
+
+
+def near_links(codes: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """codes(fp long, distinct) -> links (a, b) whose components are those of all pairs within the radius.
 
-    radius + 1 blocks are needed; four blocks of 16 bits serve a radius of up to 3.
+    A shard is a choice of blocks and their bits, a tile a shard or a pair of its runs. Both are named by a hash; if two
+    fall together, strangers meet and are told apart by their bits.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("four blocks serve a radius of 0 to 3")
     spark = codes.sparkSession
-    blocks = [F.struct((F.shiftrightunsigned("fp", BLOCK_BITS * b).bitwiseAND((1 << BLOCK_BITS) - 1) + (b << BLOCK_BITS)).cast("long").alias("shard")) for b in range(64 // BLOCK_BITS)]
-    dealt = codes.select("fp", F.explode(F.array(*blocks)).alias("x")).select("fp", "x.shard")
-    # At most 4 * 65536 block values exist, however many documents there are: the list of the crowded ones is bounded.
-    crowded = dealt.groupBy("shard").count().where(F.col("count") > tile).select("shard", F.ceil(F.col("count") / tile).alias("runs"))
+    masks = block_masks(blocks or blocks_for(codes.count(), radius), radius)
+    shards = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(masks)]
+    dealt = codes.select("fp", F.explode(F.array(*shards)).alias("shard"))
+    # Written, so that its size is known when the join is planned: it goes to every task if it is small, and is shuffled otherwise.
+    crowded = written(dealt.groupBy("shard").count().where(F.col("count") > tile).select("shard", F.ceil(F.col("count") / tile).alias("runs")), "crowded")
     runs = F.coalesce("runs", F.lit(1))
-    dealt = dealt.join(F.broadcast(crowded), "shard", "left").select("fp", "shard", runs.alias("runs"), F.pmod(F.xxhash64("fp"), runs).alias("run"))
-    tiles = dealt.select("fp", "shard", "runs", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("other"))
-    tiles = tiles.select("fp", (F.col("shard") * (1 << 40) + F.least("run", "other") * (1 << 20) + F.greatest("run", "other")).alias("tile"))
+    dealt = dealt.join(crowded, "shard", "left").select("fp", "shard", runs.alias("runs"), F.pmod(F.xxhash64("fp"), runs).alias("run"))
+    tiles = dealt.select("fp", "shard", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("other"))
+    tiles = tiles.select("fp", F.xxhash64("shard", F.least("run", "other"), F.greatest("run", "other")).alias("tile"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0

@@ -64,13 +64,24 @@ def test_links_whatever_the_tile(spark):
     for k, root in classes(dict(enumerate(sorted(set(prints.values()))))).items():
         expected.setdefault(root, set()).add(sorted(set(prints.values()))[k])
     groups = sorted(sorted(g) for g in expected.values() if len(g) > 1)
-    for tile in (8, 64, 2048):
+    for tile, blocks in ((8, None), (64, 5), (2048, 4), (2048, 6)):
         found = {}
-        for r in components(simhash_dedup.near_links(codes, tile=tile)).collect():
+        for r in components(simhash_dedup.near_links(codes, tile=tile, blocks=blocks)).collect():
             found.setdefault(r.root, set()).add(r.node % 2**64)
         assert sorted(sorted(g) for g in found.values()) == groups
 
 
+def test_blocks():
+    assert [simhash_dedup.blocks_for(n) for n in (0, 10**6, 10**8, 10**11)] == [4, 4, 5, 6]
+    assert [len(simhash_dedup.block_masks(b)) for b in (4, 5, 6)] == [4, 10, 20]
+    rng = random.Random(9)
+    for blocks in (4, 5, 6):
+        for _ in range(300):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << k for k in rng.sample(range(64), 3))
+            assert any(a & m == b & m for m in simhash_dedup.block_masks(blocks))
+
+
 def test_components_on_chains_and_hubs(spark):
     chain = [(k, k + 1) for k in range(200)]
     hub = [(1000, k) for k in range(1001, 1400)]
