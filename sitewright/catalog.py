@@ -300,7 +300,7 @@ def _(spark, d):
 
 @query("coverage_filter", matrix_sql(COVERED, select="SELECT site FROM kept"))
 def _(spark, d):
-    return S.filter_by_coverage(matrix(spark, d)).var.select("site")
+    return S.filter_by_coverage(matrix(spark, d), must_keep=False).var.select("site")
 
 
 @query("layer_row_sums", matrix_sql(select="SELECT cell_id, cast(sum(G1) AS bigint) AS total FROM counts GROUP BY cell_id"))
@@ -316,17 +316,17 @@ def _(spark, d):
 
 @query("base_levels_forward", matrix_sql(COVERED, LEVELS, select="SELECT site, A, T, G, C, Coverage FROM levels"))
 def _(spark, d):
-    return S.base_levels(S.filter_by_coverage(matrix(spark, d))).var.select("site", *BASES, "Coverage")
+    return S.base_levels(S.filter_by_coverage(matrix(spark, d), must_keep=False)).var.select("site", *BASES, "Coverage")
 
 
 @query("base_levels_both", matrix_sql(COVERED, select="SELECT site, " + ", ".join(f"cast(sum({b}1 + {b}0) AS bigint) AS {b}" for b in BASES) + f", cast(sum({ALL8}) AS bigint) AS Coverage FROM counts SEMI JOIN kept USING (site) GROUP BY site"))
 def _(spark, d):
-    return S.base_levels(S.filter_by_coverage(matrix(spark, d)), "both").var.select("site", *BASES, "Coverage")
+    return S.base_levels(S.filter_by_coverage(matrix(spark, d), must_keep=False), "both").var.select("site", *BASES, "Coverage")
 
 
 @query("strand_levels", matrix_sql(COVERED, select="SELECT site, " + ", ".join(f"cast(sum({b}{s}) AS bigint) AS {b}_{n}" for b in BASES for s, n in (("1", "P"), ("0", "N"))) + ", cast(sum(A1 + T1 + G1 + C1) AS bigint) AS CoverageP, cast(sum(A0 + T0 + G0 + C0) AS bigint) AS CoverageN FROM counts SEMI JOIN kept USING (site) GROUP BY site"))
 def _(spark, d):
-    var = S.strand_levels(S.filter_by_coverage(matrix(spark, d))).var
+    var = S.strand_levels(S.filter_by_coverage(matrix(spark, d), must_keep=False)).var
     return var.select("site", *(f"{b}_{s}" for b in BASES for s in "PN"), "CoverageP", "CoverageN")
 
 
@@ -351,7 +351,7 @@ def _(spark, d):
 
 
 def noted(spark: SparkSession, d: str) -> SiteMatrix:
-    m = S.add_reference(S.base_levels(S.filter_by_coverage(matrix(spark, d))), reference(spark, d))
+    m = S.add_reference(S.base_levels(S.filter_by_coverage(matrix(spark, d), must_keep=False)), reference(spark, d))
     return replace(m, var=E.with_mismatch(m.var))
 
 
@@ -369,14 +369,14 @@ for _type in EditingType:
 
     @query(f"editing_sites_{_type}", matrix_sql(*CALL, split_sql(_type), select=f"SELECT site, ref, {alt_sql(_type)} AS alt FROM typed"))
     def _(spark, d, editing=_type):
-        return E.sites_of_type(noted(spark, d), editing).var.select("site", "ref", editing.alt_column(F.col("ref")).alias("alt"))
+        return E.sites_of_type(noted(spark, d), editing, must_keep=False).var.select("site", "ref", editing.alt_column(F.col("ref")).alias("alt"))
 
 
 _AG = EditingType.AG
 
 
 def split(spark: SparkSession, d: str, editing: EditingType = _AG) -> SiteMatrix:
-    return E.ref_alt_others(E.sites_of_type(noted(spark, d), editing), editing)
+    return E.ref_alt_others(E.sites_of_type(noted(spark, d), editing, must_keep=False), editing)
 
 
 @query("ref_alt_others", matrix_sql(*CALL, split_sql(_AG), select="SELECT site, cell_id, ref, alt, others FROM split"))
@@ -409,7 +409,7 @@ def _(spark, d):
 @query("call_pipeline", matrix_sql(*CALL, KNOWN, split_sql(_AG), "bysite AS (SELECT site, cast(sum(ref) AS bigint) AS ref_total, cast(sum(alt) AS bigint) AS alt_total, cast(sum(others) AS bigint) AS others_total FROM split GROUP BY site)",
        select="SELECT site, ref, A, T, G, C, Coverage, Mismatch, site IN (SELECT site FROM known) AS is_editing_site, A AS AG_ref, G AS AG_alt, T + C AS AG_others, coalesce(ref_total, 0) AS ref_total, coalesce(alt_total, 0) AS alt_total, coalesce(others_total, 0) AS others_total FROM typed LEFT JOIN bysite USING (site)"))
 def _(spark, d):
-    m = call_editing(matrix(spark, d), known_sites(spark, d), reference(spark, d), CallConfig())
+    m = call_editing(matrix(spark, d), known_sites(spark, d), reference(spark, d), CallConfig(), check=False)
     totals = m.entries.groupBy("site_id").agg(*(F.sum(x).alias(f"{x}_total") for x in E.SPLITS))
     columns = ["site", "ref", *BASES, "Coverage", "Mismatch", "is_editing_site", "AG_ref", "AG_alt", "AG_others"]
     return m.var.join(totals, "site_id", "left").select(*columns, *(F.coalesce(f"{x}_total", F.lit(0)).cast("bigint").alias(f"{x}_total") for x in E.SPLITS))

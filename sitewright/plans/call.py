@@ -17,22 +17,25 @@ from sitewright.sources.matrices import read_matrix, write_called
 from sitewright.sources.tables import read_known_sites
 
 
-def annotate(matrix: SiteMatrix, known: DataFrame, reference: DataFrame, config: CallConfig) -> SiteMatrix:
-    """Known sites marked, coverage filtered, levels counted, reference bases and mismatch classes added."""
+def annotate(matrix: SiteMatrix, known: DataFrame, reference: DataFrame, config: CallConfig, check: bool = True) -> SiteMatrix:
+    """Known sites marked, coverage filtered, levels counted, reference bases and mismatch classes added.
+
+    check: run a job to see that sites are left, and raise if none is. Without it the plan stays lazy.
+    """
     marked = S.mark_known_sites(matrix, known)
-    covered = S.base_levels(S.filter_by_coverage(marked, config.min_coverage))
+    covered = S.base_levels(S.filter_by_coverage(marked, config.min_coverage, must_keep=check))
     named = S.add_reference(covered, reference)
     return replace(named, var=E.with_mismatch(named.var, config.max_other_threshold, config.min_edited_threshold, config.min_ref_threshold))
 
 
-def call_editing(matrix: SiteMatrix, known: DataFrame, reference: DataFrame, config: CallConfig | None = None) -> SiteMatrix:
+def call_editing(matrix: SiteMatrix, known: DataFrame, reference: DataFrame, config: CallConfig | None = None, check: bool = True) -> SiteMatrix:
     """The whole call. Neither a known site nor a mismatch class removes a row unless only_known_sites is set."""
     config = (config or CallConfig()).validate()
     editing = EditingType.parse(config.editing_type)
-    noted = annotate(matrix, known, reference, config)
+    noted = annotate(matrix, known, reference, config, check)
     if config.only_known_sites:
         noted = noted.with_sites(noted.var.where("is_editing_site").select("site_id"))
-    split = E.ref_alt_others(E.sites_of_type(noted, editing), editing)
+    split = E.ref_alt_others(E.sites_of_type(noted, editing, must_keep=check), editing)
     indexed = E.editing_index(E.cell_sums(split), config.cei_fill)
     return replace(indexed, var=E.site_stats(indexed.var, editing))
 
