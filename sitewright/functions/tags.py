@@ -10,9 +10,13 @@ from sitewright.schema import U32_MAX
 INTEGER = r"^\+?[0-9]+$"
 
 
+#: All that counts as white space.
+WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def clean_tag(raw: Column) -> Column:
     """The text before the first hyphen, trimmed of all white space; null if nothing is left."""
-    return F.nullif(F.regexp_replace(F.substring_index(raw, "-", 1), r"^[\s  -   　]+|[\s  -   　]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(F.substring_index(raw, "-", 1), F.lit(WHITE)), F.lit(""))
 
 
 def decode_base(raw: Column) -> Column:
