@@ -11,9 +11,11 @@ the pairs themselves.
 
 `near_copies` is the operator's general form, for near-duplicates of a given similarity (0.8 on sets of 5-word
 shingles). At that similarity some ten of 64 bits differ, which no exact table of blocks can serve. Its fingerprints
-have 256 bits, the radius is what the similarity stands for, and tables of sampled bits, as many as catch 95 of 100
-pairs right at the threshold (nearly all above it), deal the fingerprints to shards; a shard's index searches the first
-64 bits, and pairs are checked on all 256. Links of the exact form count besides.
+have 256 bits and only find candidates: the radius is the mean distance at the similarity and three standard deviations
+more, and tables of sampled bits, as many as catch 99 of 100 pairs right at the threshold (nearly all above it), deal the
+fingerprints to shards; a shard's index searches the first 64 bits, and pairs are checked on all 256. Every true link that
+is found lies in one component of candidates, so the sets of shingles go there once, and links are those of Jaccard
+similarity, counted on the sets. Links of the exact form count besides.
 
 Nulls: a null text is an empty text, with fingerprint zero, which links like any other. Rows with a null doc_id get a
 fingerprint and take part in links; component_id is the smallest doc_id that is not null (null if there is none).
@@ -45,8 +47,10 @@ QUERIES_AT_A_TIME = 512
 SIMILARITY, COPY_SHINGLE = 0.8, 5
 WORDS = 4
 WIDE = ("w0", "w1", "w2", "w3")
-FIRST_RADIUS = 20
-MISSED = 0.05
+FIRST_RADIUS = 24
+MISSED = 0.01
+DEVIATIONS = 3
+SHINGLES_OF_A_RUN = 250_000
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -233,7 +237,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
 
 def wide_simhash(text: bytes, size: int = COPY_SHINGLE) -> np.ndarray:
     """256 bits, as four words, from the set of a text's shingles."""
-    hashes = np.unique(shingle_hashes(text, size))
+    return wide_of(np.unique(shingle_hashes(text, size)))
+
+
+def wide_of(hashes: np.ndarray) -> np.ndarray:
     votes = np.zeros((WORDS, 64), np.int64)
     for word in range(WORDS):
         for at in range(0, len(hashes), VOTES_AT_A_TIME):
@@ -249,10 +256,21 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def wide_radius(similarity: float) -> int:
+    """The mean distance of fingerprints at this similarity, and DEVIATIONS standard deviations more."""
+    n, p = 64 * WORDS, differing(similarity)
+    return min(n, round(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p))))
+
+
 def tables_for(codes: int, similarity: float) -> tuple[int, int]:
-    """(bits of a table's key, tables): some 64 fingerprints a key, and few pairs at the threshold that meet nowhere."""
+    """(bits of a table's key, tables): some 64 fingerprints a key, and at most MISSED of the pairs at the threshold beyond the radius or without a meeting."""
     bits = min(24, max(8, codes.bit_length() - 6))
-    return bits, math.ceil(math.log(MISSED) / math.log1p(-((1 - differing(similarity)) ** bits)))
+    n, p = 64 * WORDS, differing(similarity)
+    apart = [(math.comb(n, d) * p**d * (1 - p) ** (n - d), 1 - (1 - d / n) ** bits) for d in range(wide_radius(similarity) + 1)]
+    beyond, tables = 1 - sum(share for share, _ in apart), 1
+    while beyond + sum(share * fails**tables for share, fails in apart) > MISSED:
+        tables += 1
+    return bits, tables
 
 
 def table_keys(words: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -266,10 +284,10 @@ def table_keys(words: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def similar_links(codes: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """codes(uid, w0..w3, distinct) -> links (a, b) of uids whose components are those of the similar pairs that meet."""
+    """codes(uid, w0..w3) -> links (a, b) of uids whose components are those of the candidate pairs that meet."""
     spark = codes.sparkSession
     bits, tables = tables_for(codes.count(), similarity)
-    radius = round(64 * WORDS * differing(similarity))
+    radius = wide_radius(similarity)
     words_of = lambda batch, at: np.stack([batch.column(at + k).to_numpy() for k in range(WORDS)], 1).view(np.uint64)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +298,7 @@ def similar_links(codes: DataFrame, similarity: float = SIMILARITY, tile: int =
 
     kinds = "uid long, w0 long, w1 long, w2 long, w3 long"
     each = map_batches(codes.select("uid", *WIDE), keyed, f"{kinds}, keys array<long>").select("uid", *WIDE, F.explode("keys").alias("key"))
-    crowded = each.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).alias("runs"))
+    crowded = written(each.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).alias("runs")), "crowded")
     runs = F.coalesce("runs", F.lit(1))
     each = each.join(crowded, "key", "left").select("uid", *WIDE, "key", runs.alias("runs"), F.pmod(F.xxhash64("uid"), runs).alias("run"))
     tiles = each.select("uid", *WIDE, "key", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("other"))
@@ -313,6 +331,80 @@ def similar_links(codes: DataFrame, similarity: float = SIMILARITY, tile: int =
     return map_batches(together, run, "a long, b long")
 
 
+def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity is at least this: pairs of places."""
+    sizes = np.array([len(x) for x in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    holders, tokens = owner[order], tokens[order]
+    new = np.r_[True, tokens[1:] != tokens[:-1]][: len(tokens)]
+    first = np.flatnonzero(new)
+    count = np.diff(np.r_[first, len(tokens)])
+    token = np.empty(len(tokens), np.int64)
+    token[order] = np.cumsum(new) - 1
+    ends = np.cumsum(sizes)
+    root = np.arange(len(sets))
+    for k in range(len(sets)):
+        if (root == root[0]).all():
+            break
+        mine = token[ends[k] - sizes[k] : ends[k]]
+        many = count[mine]
+        at = np.arange(many.sum()) + np.repeat(first[mine] - np.cumsum(many) + many, many)
+        shared = np.bincount(holders[at], minlength=len(sets))
+        near = np.flatnonzero((shared / np.maximum(sizes[k] + sizes - shared, 1) >= similarity) & (root != root[k]))
+        if len(near):
+            root[np.isin(root, root[near])] = root[k]
+    moved = np.flatnonzero(root != np.arange(len(sets)))
+    return moved, root[moved]
+
+
+def verified_links(candidates: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY, most: int = SHINGLES_OF_A_RUN) -> DataFrame:
+    """candidates(node, root, n), shingles(uid, shingles) -> links (a, b) whose components are those of all similar pairs of each root.
+
+    A root with many shingles is cut into runs, and each pair of runs meets in a task of its own.
+    """
+    spark = candidates.sparkSession
+    crowded = written(candidates.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("root", F.ceil(F.col("n") / most).alias("runs")), "crowded")
+    runs = F.coalesce("runs", F.lit(1))
+    dealt = candidates.join(crowded, "root", "left").select("node", "root", runs.alias("runs"), F.pmod(F.xxhash64("node"), runs).alias("run"))
+    tiles = dealt.select("node", "root", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("other"))
+    tiles = tiles.select(F.col("node").alias("uid"), F.xxhash64("root", F.least("run", "other"), F.greatest("run", "other")).alias("tile"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, uids, sets, links = None, [], [], []
+
+        def close() -> None:
+            if len(sets) > 1:
+                i, j = set_links(sets, similarity)
+                uid = np.array(uids)
+                links.append((uid[i], uid[j]))
+            uids.clear()
+            sets.clear()
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*links))
+            links.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            hashes = batch.column(2)
+            values, ends = hashes.values.to_numpy(), hashes.offsets.to_numpy()
+            for k, (t, uid) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if t != tile:
+                    close()
+                    tile = t
+                uids.append(uid)
+                sets.append(values[ends[k] : ends[k + 1]])
+            if links:
+                yield out()
+        close()
+        if links:
+            yield out()
+
+    together = tiles.join(shingles, "uid").select("tile", "uid", "shingles").repartition(shuffle_partitions(spark), "tile").sortWithinPartitions("tile")
+    return map_batches(together, run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id) for each row: components of links of either form."""
 
@@ -320,22 +412,32 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
         for batch in batches:
             texts = batch.column(1).to_pylist()
             narrow = np.array([simhash(t) for t in texts], np.uint64).view(np.int64)
-            wide = np.array([wide_simhash(t) for t in texts], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(narrow), *(pa.array(wide[:, k]) for k in range(WORDS))], names=["doc_id", "fp", *WIDE])
+            sets = [np.unique(shingle_hashes(t, COPY_SHINGLE)) for t in texts]
+            wide = np.array([wide_of(x) for x in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            digest = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
+            columns = [batch.column(0), pa.array(narrow), pa.array(digest), pa.array(sizes), *(pa.array(wide[:, k]) for k in range(WORDS)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "digest", "n", *WIDE, "shingles"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t"))
-    prints = written(map_batches(rows, run, "doc_id long, fp long, w0 long, w1 long, w2 long, w3 long"), "prints")
-    codes = written(prints.groupBy("fp", *WIDE).agg(F.min("doc_id").alias("first_id")).withColumn("uid", F.monotonically_increasing_id()), "codes")
+    kinds = "doc_id long, fp long, digest long, n long, w0 long, w1 long, w2 long, w3 long, shingles array<long>"
+    prints = written(map_batches(rows, run, kinds).withColumn("row", F.monotonically_increasing_id()), "prints")
+    of_text = [F.min(c).alias(c) for c in ("n", *WIDE)]
+    codes = written(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("uid"), *of_text), "codes")
     exact = written(components(near_links(codes.select("fp").distinct(), RADIUS, tile)), "exact")
     grouped = codes.join(exact, codes.fp == exact.node, "left").select("uid", F.coalesce("root", "fp").alias("g"))
     of_print = grouped.join(grouped.groupBy("g").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1"), "g").select(F.col("uid").alias("a"), "b")
-    # Fingerprints of one set of shingles are one entry of the similarity search.
-    sets = written(codes.groupBy(*WIDE).agg(F.min("uid").alias("uid")), "sets")
-    of_set = codes.join(sets.withColumnRenamed("uid", "b"), list(WIDE)).select(F.col("uid").alias("a"), "b")
-    roots = written(components(of_print.unionByName(of_set).unionByName(similar_links(sets, similarity, tile))), "roots")
-    named = codes.join(roots, codes.uid == roots.node, "left").select("fp", *WIDE, "first_id", F.coalesce("root", "uid").alias("root"))
-    known = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", *WIDE, "component_id")
-    return prints.join(known, ["fp", *WIDE]).select("doc_id", "component_id")
+    # Texts with one set of shingles are one entry of the similarity search.
+    sets = written(codes.groupBy("digest").agg(F.min("uid").alias("uid"), *of_text), "sets")
+    of_set = codes.join(sets.select("digest", F.col("uid").alias("b")), "digest").select(F.col("uid").alias("a"), "b")
+    near = components(similar_links(sets, similarity, tile))
+    candidates = written(near.join(sets, near.node == sets.uid).select("node", "root", "n"), "candidates")
+    similar = verified_links(candidates, prints.select(F.col("row").alias("uid"), "shingles"), similarity)
+    roots = written(components(of_print.unionByName(of_set).unionByName(similar)), "roots")
+    named = codes.join(roots, codes.uid == roots.node, "left").select("fp", "digest", "first_id", F.coalesce("root", "uid").alias("root"))
+    known = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "digest", "component_id")
+    return prints.join(known, ["fp", "digest"]).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

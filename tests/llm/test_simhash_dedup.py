@@ -142,6 +142,39 @@ def test_similar_copies(spark):
         assert all(found[d] in (d, d - 100) for d in found if d >= 100)
 
 
+def shingle_sets(rows):
+    return {d: {" ".join(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+
+
+def test_similarity_is_checked_on_shingles(spark):
+    """Pairs on both sides of 0.8, each with no other copy: just those of 0.8 and more (and of the exact form) are linked, but for a rare one that meets nowhere."""
+    rows = [(k, words(5000 + k, 300)) for k in range(200)]
+    rows += [(1000 + k, edited(t, 0.01 + 0.02 * k / 200, k)) for k, t in rows]
+    sets = shingle_sets(rows)
+    near = {k for k in range(200) if len(sets[k] & sets[1000 + k]) >= 0.8 * len(sets[k] | sets[1000 + k])}
+    found = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(docs(spark, rows)).collect()}
+    linked = {k for k in range(200) if found[1000 + k] == k}
+    exact = {k for k in range(200) if (plain_print(rows[k][1]) ^ plain_print(rows[200 + k][1])).bit_count() <= 3}
+    assert 50 < len(near) < 150 and linked <= near | exact and len(near - linked) <= 0.03 * len(near)
+
+
+def test_set_links_whatever_the_runs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**62), 2**62, 60)
+    sets = {k: np.unique(np.r_[rng.permutation(base)[: 60 - k % 9], rng.integers(-(2**62), 2**62, k % 7)]) for k in range(60)} | {60: np.empty(0, np.int64)}
+    parent = np.arange(61)
+    for a in sets:
+        for b in range(a):
+            if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) > 0:
+                parent[parent == parent[a]] = parent[b]
+    shingles = spark.createDataFrame([(k, x.tolist()) for k, x in sets.items()], "uid long, shingles array<long>")
+    candidates = spark.createDataFrame([(k, 0, len(x)) for k, x in sets.items()], "node long, root long, n long")
+    for most in (10**6, 400):
+        found = {r.node: r.root for r in components(simhash_dedup.verified_links(candidates, shingles, 0.8, most)).collect()}
+        label = [found.get(k, k) for k in range(61)]
+        assert all((label[a] == label[b]) == (parent[a] == parent[b]) for a in range(61) for b in range(a))
+
+
 def test_wide_fingerprints_measure_similarity():
     bits, tables = simhash_dedup.tables_for(10**6, 0.8)
     assert bits == 14 and 1 - (1 - (1 - simhash_dedup.differing(0.8)) ** bits) ** tables >= 0.95
