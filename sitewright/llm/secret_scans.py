@@ -1,6 +1,7 @@
 """Secret scans (operator 1): fixed patterns, and a randomness test battery for everything they don't name.
 
-Strings of 20 or more characters from the base64, URL and hex alphabets that mix character classes are candidates. The
+Strings of 20 or more characters from the base64, URL and hex alphabets that mix character classes are candidates, also
+those behind `NAME=` and beside a fixed pattern's span. The
 encoding is inferred from the characters used. Three tests look at each candidate:
 
 - chi-squared: how evenly the alphabet is used;
@@ -44,6 +45,7 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PIECE = re.compile(r"([A-Za-z0-9+/_-]{%d,})(={1,2}(?![A-Za-z0-9+/_=-]))?" % LEAST)
 PLACEHOLDER = "<SECRET>"
 # Encodings in the order in which they are tried: name, alphabet.
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -141,23 +143,34 @@ class Candidate(NamedTuple):
 
 
 def candidates(text: str, taken: list[Span]) -> list[Candidate]:
-    """Strings to test, outside the spans already found. step: -10 log10 p, rounded down."""
+    """Strings to test: runs cut at '=' and at the edges of the spans already found. step: -10 log10 p, rounded down.
+
+    Padding at the end of a run belongs to its string but isn't tested.
+    """
     found = []
-    for run in RUN.finditer(text):
-        if run.end() - run.start() < LEAST:
-            continue
-        piece = run[0].strip("=")
-        at = run.start() + len(run[0]) - len(run[0].lstrip("="))
-        if len(piece) < LEAST or any(s.start < at + len(piece) and at < s.end for s in taken):
-            continue
-        encoding = encoding_of(piece)
-        if encoding is None:
-            continue
-        p = p_value(piece, encoding)
-        found.append(Candidate(at, at + len(piece), encoding * 64 + len(piece).bit_length(), min(STEPS, int(-PER_DECADE * math.log10(max(p, 1e-300))))))
+    for run in PIECE.finditer(text):
+        for start, end in outside(run.start(1), run.end(1), taken):
+            encoding = encoding_of(text[start:end]) if end - start >= LEAST else None
+            if encoding is None:
+                continue
+            p = p_value(text[start:end], encoding)
+            padded = run.end() if end == run.end(1) and not any(s.start <= end < s.end for s in taken) else end
+            found.append(Candidate(start, padded, encoding * 64 + (end - start).bit_length(), min(STEPS, int(-PER_DECADE * math.log10(max(p, 1e-300))))))
     return found
 
 
+def outside(start: int, end: int, taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of start..end that no span touches."""
+    for s in taken:
+        if s.start >= end:
+            break
+        if s.start > start:
+            yield start, s.start
+        start = max(start, s.end)
+    if start < end:
+        yield start, end
+
+
 def findings_from(histogram: dict[int, dict[int, int]], rate: float = RATE) -> dict[int, int]:
     """The least step that counts as a finding in each stratum (Benjamini-Hochberg on binned p-values)."""
     least = {}

@@ -68,6 +68,16 @@ def test_scan_over_odd_rows(spark):
     assert clean[0] is None and clean[1] == "" and clean[2] == "<SECRET>" and clean[3] == "key <SECRET> end" and clean[6] == rows[6]
 
 
+def test_pieces_of_runs(spark):
+    rng = random.Random(8)
+    keys = [random_string(rng, 64) for _ in range(5)]
+    rows = [f"AWS_SECRET_ACCESS_KEY={keys[0]}", f"see /x?sig={keys[1]}&a=b", f"DB_PASS={keys[2]}== end", f"client_key={keys[3]}=={keys[4]}=", f"{keys[0]}-{'0f' * 20}", "a=b=c", "=" * 40]
+    places = [[(c.start, c.end) for c in secret_scans.candidates(t, secret_scans.base_spans(t))] for t in rows]
+    assert places == [[(22, 86)], [(11, 75)], [(8, 74)], [(11, 75), (77, 142)], [(0, 65)], [], []]
+    clean = {r.doc_id: r.text for r in secret_scans.redacted(docs(spark, rows)).collect()}
+    assert [clean[k] for k in range(7)] == ["AWS_SECRET_ACCESS_KEY=<SECRET>", "see /x?sig=<SECRET>&a=b", "DB_PASS=<SECRET> end", "client_key=<SECRET>==<SECRET>", "<SECRET><SECRET>", "a=b=c", "=" * 40]
+
+
 def test_query(spark, tmp_path):
     docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.queries()["op1_secret_scans"](spark, str(tmp_path)).collect()
