@@ -50,6 +50,7 @@ WIDE = ("w0", "w1", "w2", "w3")
 FIRST_RADIUS = 24
 MISSED = 0.01
 DEVIATIONS = 3
+_TEXT = "__text"
 SHINGLES_OF_A_RUN = 250_000
 
 
@@ -407,6 +408,11 @@ def verified_links(candidates: DataFrame, shingles: DataFrame, similarity: float
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id) for each row: components of links of either form."""
+    return rows_of_copies(docs, text, key, similarity, tile).select("doc_id", "component_id")
+
+
+def rows_of_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(doc_id, text_hash, root, component_id) for each row: root names the component even where doc_ids repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,11 +423,11 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
             digest = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             sizes = np.array([len(x) for x in sets], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
-            columns = [batch.column(0), pa.array(narrow), pa.array(digest), pa.array(sizes), *(pa.array(wide[:, k]) for k in range(WORDS)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "digest", "n", *WIDE, "shingles"])
+            columns = [batch.column(0), batch.column(2), pa.array(narrow), pa.array(digest), pa.array(sizes), *(pa.array(wide[:, k]) for k in range(WORDS)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "digest", "n", *WIDE, "shingles"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t"))
-    kinds = "doc_id long, fp long, digest long, n long, w0 long, w1 long, w2 long, w3 long, shingles array<long>"
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t"), F.xxhash64(text_of(text)).alias("text_hash"))
+    kinds = "doc_id long, text_hash long, fp long, digest long, n long, w0 long, w1 long, w2 long, w3 long, shingles array<long>"
     prints = written(map_batches(rows, run, kinds).withColumn("row", F.monotonically_increasing_id()), "prints")
     of_text = [F.min(c).alias(c) for c in ("n", *WIDE)]
     codes = written(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("uid"), *of_text), "codes")
@@ -436,20 +442,23 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     similar = verified_links(candidates, prints.select(F.col("row").alias("uid"), "shingles"), similarity)
     roots = written(components(of_print.unionByName(of_set).unionByName(similar)), "roots")
     named = codes.join(roots, codes.uid == roots.node, "left").select("fp", "digest", "first_id", F.coalesce("root", "uid").alias("root"))
-    known = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "digest", "component_id")
-    return prints.join(known, ["fp", "digest"]).select("doc_id", "component_id")
+    known = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "digest", "root", "component_id")
+    return prints.join(known, ["fp", "digest"]).select("doc_id", "text_hash", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near-duplicates: of each component the document with the smallest doc_id stays, once.
 
-    Rows without a doc_id can't be told apart from here and stay.
+    Rows are told apart by doc_id and text, so a doc_id that repeats with different texts stays once for each component in
+    which it is the smallest. Rows without a doc_id can't be told apart from here and stay.
     """
-    found = near_copies(docs, similarity=similarity)
-    ids = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    # Texts are dealt by doc_id at every size: the ids that stay are most of the table, so sending them everywhere has no bound.
-    kept = docs.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-    twice = ids.where("rows > 1").select("doc_id")
+    found = rows_of_copies(docs, similarity=similarity).where("doc_id = component_id").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = found.groupBy("root", "doc_id").agg(F.min(F.struct("text_hash", "rows")).alias("x"))
+    ids = written(first.select("doc_id", F.col("x.text_hash").alias(_TEXT), "x.rows"), "kept")
+    place = ["doc_id", _TEXT]
+    # Texts are dealt by doc_id and text at every size: the ids that stay are most of the table, so sending them everywhere has no bound.
+    kept = docs.withColumn(_TEXT, F.xxhash64(text_of("text"))).join(ids.select(place).hint("shuffle_hash"), place, "left_semi")
+    twice = ids.where("rows > 1").select(place)
     if not twice.isEmpty():
-        kept = kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null"))
+        kept = kept.join(twice, place, "left_anti").unionByName(kept.join(twice, place, "left_semi").dropDuplicates(place))
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

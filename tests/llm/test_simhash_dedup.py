@@ -196,6 +196,15 @@ def test_one_of_each(spark):
     assert simhash_dedup.one_of_each(frame.where("false")).count() == 0
 
 
+def test_one_of_each_where_a_doc_id_repeats(spark):
+    a, b, c = (words(9000 + k, 80) for k in range(3))
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, b), (7, c), (7, c + " more"), (7, c), (8, c)]
+    kept = as_rows(simhash_dedup.one_of_each(docs(spark, rows)), "doc_id", "text")
+    assert kept in (sorted([(1, a), (5, b), (7, x)], key=repr) for x in (c, c + " more"))
+    same = [(3, a), (3, b), (3, None), (3, ""), (3, b)]
+    assert len(as_rows(simhash_dedup.one_of_each(docs(spark, same)), "doc_id", "text")) == 3
+
+
 def test_long_texts_in_parts(monkeypatch):
     text = words(4, 500).encode()
     whole = simhash_dedup.simhash(text)
