@@ -7,8 +7,8 @@ in a window around an entity are candidates to reveal it. Over the whole corpus,
     PMI(e, t) = log2(N * df(e, t) / (df(e) * df(t)))   what the term tells about it
 
 with document frequencies df. A term whose PMI reaches `remove` x IC discloses the entity and is removed; one that
-reaches `generalise` x IC is generalised to its kind of word. Only pairs seen in `contexts` or more different windows
-count, so that one text and its exact copies can't convict a term. df(t) is counted for candidate terms only, in one
+reaches `generalise` x IC is generalised to its kind of word, wherever it stands in any text. Pairs must be seen in
+`contexts` different windows, or in all windows of an entity that has fewer. Windows that are equal count once. df(t) is counted for candidate terms only, in one
 more pass over the texts that runs if there are candidates; terms that stand beside too many entities to reach the
 threshold at any df(t) are no candidates.
 
@@ -22,6 +22,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,8 @@ WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
 
 
-def matches(text: Column, pattern: str, kind: int, offset: Column | None = None) -> Column:
-    """Spans (kind, start, end, value) of all matches, leftmost and not overlapping."""
+def matches(text: Column, pattern: str, kind: int, offset: Column | None = None, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Spans (kind, start, end, value) of all matches, leftmost and not overlapping; of those whose value is wanted, if asked."""
     offset = F.lit(0).cast("bigint") if offset is None else offset.cast("bigint")
     pieces = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
@@ -56,7 +58,9 @@ def matches(text: Column, pattern: str, kind: int, offset: Column | None = None)
         start = done.at + F.char_length(between)
         end = start + F.char_length(found)
         span = F.struct(F.lit(kind).alias("kind"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), found.alias("value"))
-        return F.when(found.isNull(), done).otherwise(F.struct(end.cast("bigint").alias("at"), F.concat(done.spans, F.array(span)).alias("spans")))
+        longer = F.concat(done.spans, F.array(span))
+        spans = longer if wanted is None else F.when(wanted(found), longer).otherwise(done.spans)
+        return F.when(found.isNull(), done).otherwise(F.struct(end.cast("bigint").alias("at"), spans.alias("spans")))
 
     return F.aggregate(pieces, F.struct(offset.alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda done: done.spans)
 
@@ -93,26 +97,26 @@ def joined(spans: str) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", contexts: int = CONTEXTS, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
-    """(doc_id, row, base, terms): base spans and, for each row, the spans of disclosing terms with their level.
+    """(doc_id, row, base, terms): base spans and, for each row, the spans of disclosing terms in its whole text with their level.
 
     row numbers the rows of the written scan; terms are (start, end, value, level), level 'remove' or 'generalise'.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("t"))
     found = rows.select("doc_id", "t", entity_spans(F.col("t")).alias("base"))
     near = F.when(F.size("base") > 0, F.transform("base", lambda s: F.struct(s.kind.alias("kind"), F.lower(s.value).alias("value"), window_terms(F.col("t"), s).alias("words")))).otherwise(F.array())
-    base = written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", near.alias("near")), "entities")
+    base = written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "t", "base", near.alias("near")), "entities")
 
     seen = base.where(F.size("near") > 0).select("row", F.explode("near").alias("n"))
     seen = seen.select("row", F.concat_ws(":", F.col("n.kind").cast("string"), "n.value").alias("entity"), F.xxhash64(F.transform("n.words", lambda w: w.value)).alias("context"), "n.words")
-    pairs = seen.select("row", "entity", "context", F.explode("words").alias("w")).select("row", "entity", "context", F.lower("w.value").alias("term"), "w.start", "w.end", "w.value")
+    pairs = seen.select("row", "entity", "context", F.explode("words").alias("w")).select("row", "entity", "context", F.lower("w.value").alias("term"))
     total = float(base.count())
-    of_entity = seen.groupBy("entity").agg(F.count_distinct("row").alias("of_entity"))
+    of_entity = seen.groupBy("entity").agg(F.count_distinct("row").alias("of_entity"), F.count_distinct("context").alias("windows"))
     at_least = pairs.groupBy("term").agg(F.count_distinct("row").alias("at_least"))
-    grouped = pairs.groupBy("entity", "term", "context").agg(F.count_distinct("row").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("contexts")).where(F.col("contexts") >= contexts)
+    grouped = pairs.groupBy("entity", "term", "context").agg(F.count_distinct("row").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("contexts"))
     worth = F.log2(F.lit(total) / F.col("of_entity"))
     told = lambda of_term: F.log2(F.lit(total) * F.col("both") / (F.col("of_entity") * F.col(of_term)))
     # df(t) is no less than the rows that have t beside any entity: what can't reach the threshold even then is out.
-    candidates = written(grouped.join(of_entity, "entity").join(at_least, "term").where((worth > 0) & (told("at_least") >= generalise * worth)), "candidates")
+    candidates = written(grouped.join(of_entity, "entity").join(at_least, "term").where((F.col("contexts") >= F.least(F.lit(contexts), "windows")) & (worth > 0) & (told("at_least") >= generalise * worth)), "candidates")
     if candidates.isEmpty():
         flagged = candidates.select("entity", "term", F.lit(None).cast("string").alias("level"))
     else:
@@ -120,8 +124,14 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", contexts: int
         of_term = words.groupBy("term").agg(F.count("*").alias("counted"))  # each task adds up its words before they meet a candidate
         rated = candidates.join(of_term, "term").withColumn("of_term", F.greatest("counted", "at_least"))
         flagged = rated.select("entity", "term", F.when(told("of_term") >= remove * worth, "remove").when(told("of_term") >= generalise * worth, "generalise").alias("level")).where("level is not null")
-    spans = pairs.join(written(flagged, "flagged"), ["entity", "term"]).groupBy("row", "start", "end", "value").agg(F.max("level").alias("level"))
-    by_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "level"))).alias("terms"))
+    levels = written(flagged.groupBy("term").agg(F.max("level").alias("level")), "flagged")
+    # A text is searched for places only if it holds a flagged term.
+    held = base.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), F.lower))).alias("term")).join(levels, "term")
+    held = held.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "level"))).alias("held"))
+    level = lambda value: F.element_at("held", F.lower(value))
+    spans = matches(F.col("t"), WORD, TERM, wanted=lambda value: level(value).isNotNull())
+    terms = F.transform(spans, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.value.alias("value"), level(x.value).alias("level")))
+    by_row = base.select("row", "t").join(held, "row").select("row", terms.alias("terms"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,level:string>>")
     return base.select("row", "doc_id", "base").join(by_row, "row", "left").select("doc_id", "row", "base", F.coalesce("terms", none).alias("terms"))
 

@@ -87,6 +87,15 @@ def test_measures_by_brute_force(spark):
     assert got == expected and expected
 
 
+def test_terms_in_whole_texts_and_of_rare_entities(spark):
+    rows = corpus() + [(100, f"Zorblatt {'filler ' * 40}zorblatt, and no entity"), (101, f"{words(3, 8)} quuxley mail once@corp.example.net"), (102, "filler and quuxley again"), (103, "filler " * 20)]
+    found = {r.doc_id: [(t.start, t.end, t.value, t.level) for t in r.terms] for r in pii.scan(docs(spark, rows)).collect()}
+    assert found[100] == [(0, 8, "Zorblatt", "remove"), (289, 297, "zorblatt", "remove")] and found[103] == []
+    assert [t[2] for t in found[101]] == ["quuxley"] and found[102] == [(11, 18, "quuxley", "generalise")]
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs(spark, rows)).collect()}
+    assert "orblatt" not in clean[100] and clean[102] == "filler and <WORD> again"
+
+
 def test_query_on_odd_rows(spark, tmp_path):
     frame = docs(spark, clash=True)
     frame.write.parquet(f"{tmp_path}/documents.parquet")
