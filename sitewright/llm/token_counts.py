@@ -8,9 +8,15 @@ The last token after a byte is the one whose junction with the token before it i
 the junction comes before the merges on its sides; there is exactly one. That keeps the automaton finite. The table of
 states is bounded: at `max_states` it is dropped and grows again.
 
+Where white space follows something else, every state does the same. A text is cut there into spans (white space and the
+word behind it), which are the letters of a coarser transducer with one state: the count of a span that comes again is one
+look-up, and only a span that is new is walked letter by letter.
+
 Long texts are cut into chunks. A chunk becomes a map of states: the head, whose reading depends on the state before
-it, and after the first place where any state does the same, a constant state and count. Maps compose associatively
-and are combined in a parallel prefix scan, so chunks need no order of evaluation and memory stays with one chunk.
+it, and after the first place where any state does the same, a constant state and count. A head is a range of the text,
+never a copy, and neighbouring heads make one range, so a map takes the same room for every text. Maps compose
+associatively and are combined pair by pair, in the rounds of a parallel prefix scan's up-sweep; its last prefix is the
+whole count, so the others aren't made. Memory stays with the text, one chunk's spans and the bounded tables.
 
 A null text is empty: 0 bytes, 0 tokens. Special strings inside texts are single tokens, as the library has it by
 default. Repeated rows give repeated results; an empty table an empty result.
@@ -19,6 +25,7 @@ default. Repeated rows give repeated results; an empty table an empty result.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,12 +39,16 @@ from sitewright.llm.common import map_batches, text_of
 
 LIMIT = 1024
 CHUNK = 65536
-MAX_STATES = 120_000
+MAX_STATES = 60_000
+MAX_SPANS, LONG_SPAN = 300_000, 64
 # Fixed values of the pre-tokenizer's pattern: what may follow an apostrophe that begins a token.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 START, LETTERS, NUMBERS, OTHERS, SPACES, APOSTROPHE = range(6)
 EMPTY = (b"", (None,), (0,))
+_WHITE = "".join(map(re.escape, sorted(WHITE)))
+SPANS = re.compile(f"[{_WHITE}]+[^{_WHITE}]*|[^{_WHITE}]+")
+BOUNDARY = re.compile(f"(?<![{_WHITE}])[{_WHITE}]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,10 +69,25 @@ class State(dict):
         return found
 
 
+class Spans(dict):
+    """Counts of spans, each read from the start; long ones aren't kept, and the table is dropped when it is full."""
+
+    __slots__ = ("machine",)
+
+    def __missing__(self, span: str) -> int:
+        count = self.machine.run(self.machine.start, span)[1]
+        if len(span) <= LONG_SPAN:
+            if len(self) >= MAX_SPANS:
+                self.clear()
+            self[span] = count
+        return count
+
+
 class ChunkMap(NamedTuple):
-    """head is read from the state before the chunk; what follows, if anything does, adds `change` and ends in `end`."""
+    """What a chunk does: text[at:head] is read from the state before it; what follows, if anything does, adds `change` and ends in `end`."""
 
-    head: str
+    at: int
+    head: int
     change: int = 0
     end: State | None = None
 
@@ -77,6 +103,8 @@ class Transducer:
         self.states: dict[tuple, State] = {}
         self.letters: dict[str, tuple[tuple, int]] = {}
         self.start = self.state((START, EMPTY))
+        self.spans = Spans()
+        self.spans.machine = self
 
     def state(self, what: tuple) -> State:
         found = self.states.get(what)
@@ -193,28 +221,31 @@ class Transducer:
             count += change
         return state, count
 
-    def chunk_map(self, text: str) -> ChunkMap:
-        for at in range(1, len(text)):
-            if text[at] in WHITE and text[at - 1] not in WHITE:  # every state that ends in a word does the same here
-                end, change = self.run(self.start, text[at:])
-                return ChunkMap(text[:at], change, end)
-        return ChunkMap(text)
-
-    def compose(self, first: ChunkMap, second: ChunkMap) -> ChunkMap:
+    def chunk_map(self, text: str, at: int, stop: int) -> ChunkMap:
+        """The map of text[at:stop]. The first chunk is read from the start and has no head."""
+        first = BOUNDARY.search(text, at, stop) if at else None
+        if at and first is None:
+            return ChunkMap(at, stop)
+        begin = first.start() if first else at
+        *closed, last = SPANS.findall(text, begin, stop)  # the last span may go on in the next chunk
+        end, change = self.run(self.start, last)
+        return ChunkMap(at, begin, sum(map(self.spans.__getitem__, closed)) + change, end)
+
+    def compose(self, text: str, first: ChunkMap, second: ChunkMap) -> ChunkMap:
         if first.end is None:
-            return ChunkMap(first.head + second.head, second.change, second.end)
-        end, change = self.run(first.end, second.head)
-        if second.end is None:
-            return ChunkMap(first.head, first.change + change, end)
-        return ChunkMap(first.head, first.change + change + second.change, second.end)
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """Inclusive prefix scan: at each round a map takes in the one 1, 2, 4, ... places before it."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[k - step], m) if k >= step else m for k, m in enumerate(maps)]
-            step *= 2
-        return maps
+            return ChunkMap(first.at, second.head, second.change, second.end)
+        end, change = first.end, 0
+        for at in range(second.at, second.head, CHUNK):
+            end, more = self.run(end, text[at : min(at + CHUNK, second.head)])
+            change += more
+        return ChunkMap(first.at, first.head, first.change + change + second.change, second.end or end)
+
+    def combined(self, text: str, maps: list[ChunkMap]) -> ChunkMap:
+        """All maps as one: in each round neighbours become one map."""
+        while len(maps) > 1:
+            pairs = [self.compose(text, *maps[k : k + 2]) for k in range(0, len(maps) - 1, 2)]
+            maps = pairs + maps[len(pairs) * 2 :]
+        return maps[0]
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         parts = [text]
@@ -223,10 +254,9 @@ class Transducer:
         total = len(parts) - 1
         for part in parts:
             if len(part) <= chunk:
-                total += self.run(self.start, part)[1]
+                total += sum(map(self.spans.__getitem__, SPANS.findall(part)))
             else:
-                whole = self.scan([self.chunk_map(part[at : at + chunk]) for at in range(0, len(part), chunk)])[-1]
-                total += self.run(self.start, whole.head)[1] + whole.change
+                total += self.combined(part, [self.chunk_map(part, at, min(at + chunk, len(part))) for at in range(0, len(part), chunk)]).change
         return total
 
 

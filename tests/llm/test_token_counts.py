@@ -31,8 +31,26 @@ def test_counts_equal_the_library(machine, library):
 def test_chunk_maps_compose_in_any_order(machine):
     rng = random.Random(2)
     for _ in range(300):
-        a, b, c = (machine.chunk_map("".join(rng.choice(PARTS[:-12]) for _ in range(rng.randint(0, 12)))) for _ in range(3))
-        assert machine.compose(machine.compose(a, b), c) == machine.compose(a, machine.compose(b, c))
+        text = "".join(rng.choice(PARTS[:-12]) for _ in range(rng.randint(3, 30)))
+        i, j = sorted(rng.sample(range(1, len(text)), 2))
+        a, b, c = machine.chunk_map(text, 0, i), machine.chunk_map(text, i, j), machine.chunk_map(text, j, len(text))
+        whole = machine.compose(text, machine.compose(text, a, b), c)
+        assert whole == machine.compose(text, a, machine.compose(text, b, c))
+        assert whole.change == machine.run(machine.start, text)[1]
+
+
+def test_a_long_text_without_spaces_holds_no_copies(machine, library):
+    rng = random.Random(3)
+    text = "".join(rng.choice(("日", "本", "語", "文", "章", "計", "算")) for _ in range(100_000))
+    maps = [machine.chunk_map(text, at, at + 1000) for at in range(0, len(text), 1000)]
+    assert [(m.at, m.head, m.end) for m in maps[1:]] == [(at, at + 1000, None) for at in range(1000, len(text), 1000)]
+    assert machine.count(text) == machine.combined(text, maps).change == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_dropped_spans_change_nothing(machine, library, monkeypatch):
+    monkeypatch.setattr(token_counts, "MAX_SPANS", 3)
+    for text in [t for t in texts() if t][:12]:
+        assert machine.count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
 def test_a_dropped_table_of_states_changes_nothing(library):
