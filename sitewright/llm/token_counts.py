@@ -8,9 +8,9 @@ The last token after a byte is the one whose junction with the token before it i
 the junction comes before the merges on its sides; there is exactly one. That keeps the automaton finite. The table of
 states is bounded: at `max_states` it is dropped and grows again.
 
-Where white space follows something else, every state does the same. A text is cut there into spans (white space and the
-word behind it), which are the letters of a coarser transducer with one state: the count of a span that comes again is one
-look-up, and only a span that is new is walked letter by letter.
+Where white space follows something else, or letters and numbers meet other signs (but for an apostrophe before a letter),
+every state does the same. A text is cut there into spans, which are the letters of a coarser transducer with one state:
+the count of a span that comes again is one look-up, and only a span that is new is walked letter by letter.
 
 Long texts are cut into chunks. A chunk becomes a map of states: the head, whose reading depends on the state before
 it, and after the first place where any state does the same, a constant state and count. A head is a range of the text,
@@ -39,15 +39,17 @@ from sitewright.llm.common import map_batches, text_of
 
 LIMIT = 1024
 CHUNK = 65536
-MAX_STATES = 60_000
+MAX_STATES = 160_000
 MAX_SPANS, LONG_SPAN = 300_000, 64
 # Fixed values of the pre-tokenizer's pattern: what may follow an apostrophe that begins a token.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+PAIR = 32
 START, LETTERS, NUMBERS, OTHERS, SPACES, APOSTROPHE = range(6)
 EMPTY = (b"", (None,), (0,))
 _WHITE = "".join(map(re.escape, sorted(WHITE)))
-SPANS = re.compile(f"[{_WHITE}]+[^{_WHITE}]*|[^{_WHITE}]+")
+# White space and then a run of letters and numbers or a run of other signs; an apostrophe keeps what it may contract.
+SPANS = re.compile(f"[{_WHITE}]*(?:[^\\W_]+|(?:(?![{_WHITE}])[\\W_])+(?:(?<=')[^\\W_]+)?)|[{_WHITE}]+")
 BOUNDARY = re.compile(f"(?<![{_WHITE}])[{_WHITE}]")
 
 
@@ -70,16 +72,20 @@ class State(dict):
 
 
 class Spans(dict):
-    """Counts of spans, each read from the start; long ones aren't kept, and the table is dropped when it is full."""
+    """Counts of spans, each read from the start. Long ones aren't kept; a full table becomes `older`, from which what comes again is taken back."""
 
-    __slots__ = ("machine",)
+    __slots__ = ("machine", "older")
 
     def __missing__(self, span: str) -> int:
-        count = self.machine.run(self.machine.start, span)[1]
-        if len(span) <= LONG_SPAN:
-            if len(self) >= MAX_SPANS:
-                self.clear()
-            self[span] = count
+        count = self.older.get(span)
+        if count is None:
+            count = self.machine.run(self.machine.start, span)[1]
+            if len(span) > LONG_SPAN:
+                return count
+        if len(self) >= MAX_SPANS:
+            self.older = dict(self)
+            self.clear()
+        self[span] = count
         return count
 
 
@@ -95,16 +101,16 @@ class ChunkMap(NamedTuple):
 class Transducer:
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], specials: list[str], max_states: int = MAX_STATES) -> None:
         self.vocabulary, self.specials, self.max_states = vocabulary, specials, max_states
-        self.rank = {(vocabulary[a], vocabulary[b]): r for r, (a, b) in enumerate(merges)}
+        self.rank = {vocabulary[a] << PAIR | vocabulary[b]: r for r, (a, b) in enumerate(merges)}
         self.made = {vocabulary[a + b]: (r, vocabulary[a], vocabulary[b]) for r, (a, b) in enumerate(merges)}
         self.growing = {t[:k] for t in vocabulary for k in range(1, len(t))}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.states: dict[tuple, State] = {}
         self.letters: dict[str, tuple[tuple, int]] = {}
         self.start = self.state((START, EMPTY))
         self.spans = Spans()
-        self.spans.machine = self
+        self.spans.machine, self.spans.older = self, {}
 
     def state(self, what: tuple) -> State:
         found = self.states.get(what)
@@ -122,45 +128,58 @@ class Transducer:
     # --- byte-pair merges
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
-        """What stands at the right (0) or left (1) edge of a token in the course of its merges, with the rank that ends it."""
+        """What stands at the right (0) or left (1) edge of a token in the course of its merges, with the rank that ends it. On the right edge, as the left half of a pair."""
         found = self.spines[side].get(token)
         if found is None:
-            found, end, at = [(token, float("inf"))], None, token
+            shift = 0 if side else PAIR
+            found, end, at = [(token << shift, float("inf"))], None, token
             while at in self.made:
                 end, left, right = self.made[at]
                 at = left if side else right
-                found.append((at, end))
+                found.append((at << shift, end))
             self.spines[side][token] = found
         return found
 
     def joins(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart: no merge across their junction comes in time."""
-        found = self.stable.get((left, right))
+        pair = left << PAIR | right
+        found = self.stable.get(pair)
         if found is None:
-            rank = self.rank
-            found = not any((q := rank.get((a, b))) is not None and q < a_end and q <= b_end for a, a_end in self.spine(left, 0) for b, b_end in self.spine(right, 1))
-            self.stable[left, right] = found
+            found = self.stable[pair] = self._apart(left, right)
         return found
 
+    def _apart(self, left: int, right: int) -> bool:
+        rank, edges = self.rank.get, self.spines[1].get(right) or self.spine(right, 1)
+        for a, a_end in self.spines[0].get(left) or self.spine(left, 0):
+            for b, b_end in edges:
+                q = rank(a | b)
+                if q is not None and q < a_end and q <= b_end:
+                    return False
+        return True
+
     def advance(self, key: tuple, more: bytes) -> tuple[tuple, int]:
         """The part of a pretoken that can still change, after more bytes, and the change of its count."""
         window, last, counts = key
+        vocabulary, growing, joins = self.vocabulary.get, self.growing, self.joins
         total = 0
         for k in range(len(more)):
-            window = window + more[k : k + 1]
-            for at in range(len(window)):
-                token = self.vocabulary.get(window[at:])
-                if token is not None and (last[at] is None or self.joins(last[at], token)):
+            window += more[k : k + 1]
+            at = 0
+            for before in last:
+                token = vocabulary(window[at:] if at else window)
+                if token is not None and (before is None or joins(before, token)):
                     break
+                at += 1
             else:
                 raise ValueError("the vocabulary lacks a byte")
             change = counts[at] + 1
-            for cut in range(len(window) + 1):
-                if cut == len(window) or window[cut:] in self.growing:
-                    break
-            window = window[cut:]
+            cut, size = 0, len(window)
+            while cut < size and window[cut:] not in growing:
+                cut += 1
+            if cut:
+                window = window[cut:]
             last = (*last[cut:], token)
-            counts = (*(c - change for c in counts[cut:]), 0)
+            counts = (*[c - change for c in counts[cut:]], 0)
             total += change
         return (window, last, counts), total
 
