@@ -6,14 +6,15 @@ piece holds. In a unit, an agenda of candidate merges is worked off by score, th
 valid when its turn comes is skipped if its keyed hash says so, at the dropout rate; what was skipped can't come back, so
 larger pieces that need it don't form. Characters outside the vocabulary become byte pieces.
 
-The hash's key is the seed and the unit's variant, which in turn is a keyed hash of doc_id and the unit's place in the
-text, one of VARIANTS. Equal inputs therefore give equal segmentations on any cluster and after any retry, while the same
-word is cut differently from place to place. A rate of 0 gives the library's own segmentation. Every segmentation decodes
+The hash is over the seed, doc_id, the unit's place in the text, the candidate's place in the unit and its piece. Equal
+inputs therefore give equal segmentations on any cluster and after any retry, while the same word is cut differently from
+place to place, each time by draws of its own. A rate of 0 gives the library's own segmentation. Every segmentation decodes
 to the text it came from; a U+2581 that the text itself holds becomes byte pieces, so it does too.
 
-A batch of texts is encoded in step: its different units of like length lie in a matrix, and in each round every unit
-works off the next candidate of its own agenda. Units that are long or hold characters outside the vocabulary go through
-the same agenda one by one.
+A batch of texts is encoded in step. Its different units are worked off once without skips, which tells the candidates that
+each of their occurrences would meet; only occurrences of which the hash skips one of these go through an agenda of their
+own. Units of like length lie in a matrix, and in each round every unit works off the next candidate of its own agenda.
+Long units go through the same agenda one by one.
 
 Nulls: a null text is empty and has no pieces. A null doc_id counts as 0 for the hash. Repeated rows give equal results.
 An empty table gives an empty result.
@@ -37,15 +38,31 @@ from sitewright.llm.common import map_batches, text_of
 
 RATE = 0.1
 SEED = 17
-VARIANTS = 16
-SLOTS = 1 << 16
 SHORT = 48
 SPACE = "▁"
-CACHED = 300_000
+AT_A_TIME = 1 << 20
+# Odd multipliers and the steps of a 64-bit mixer.
+OF_UNIT, OF_PIECE, OF_PLACE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+STEPS = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+MASK = 2**64 - 1
 WIDTHS = (6, 8, 10, 12, 16, 24, SHORT)
 NONE = np.iinfo(np.int32).max
 
 
+def mixed(x: int) -> int:
+    for shift, factor in STEPS:
+        x = (x ^ x >> shift) * factor & MASK
+    return x
+
+
+def mixed_all(x: np.ndarray) -> np.ndarray:
+    for shift, factor in STEPS:
+        x = x ^ (x >> np.uint64(shift))
+        if factor != 1:
+            x *= np.uint64(factor)
+    return x
+
+
 class Pairs:
     """Which piece two pieces make, as an open hash table for arrays of pairs."""
 
@@ -83,6 +100,14 @@ class Pairs:
         return out
 
 
+class Numbers(dict):
+    """Consecutive numbers for what is asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class Codec:
     def __init__(self, path: str, rate: float = RATE, seed: int = SEED) -> None:
         import sentencepiece
@@ -111,45 +136,34 @@ class Codec:
             self.turn[k] = order[self.scores[piece]]
         lone = "\n" if not any("\n" in piece for piece in self.ids) else ""
         self.units = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        # The keyed hash of a candidate, one table of SLOTS verdicts for each variant.
-        random = np.random.Generator(np.random.Philox(key=seed))
-        self.seed, self.verdict_table = seed, random.random((VARIANTS, SLOTS)) < rate
-        self.verdicts = [row.tobytes() for row in self.verdict_table]
-        self.cache: dict[tuple[str, int], tuple[int, ...]] = {}
-        self.plain: dict[str, tuple[tuple[int, ...], tuple[tuple[int, int], ...]]] = {}
-
-    def skipped(self, variant: int, place: int, piece: int) -> int:
-        return self.verdicts[variant][(piece * 40503 + place * 9973) & (SLOTS - 1)]
-
-    def merge(self, unit: str, variant: int | None) -> tuple[tuple[int, ...], list[tuple[int, int]]]:
-        """(piece ids, merges made as (place, piece)). variant None: nothing is skipped."""
-        return (self._merge_short if len(unit) <= SHORT else self._merge_long)(unit, variant)
-
-    def _merge_short(self, unit: str, variant: int | None) -> tuple[tuple[int, ...], list[tuple[int, int]]]:
-        """The agenda as a list beside the symbols: its least entry is the next candidate."""
-        score, ids = self.scores.get, self.ids
-        verdicts = self.verdicts[variant] if variant is not None else None
-        symbols, places, made = list(unit), list(range(len(unit))), []
-        none = float("inf")
-        agenda = [score(unit[k : k + 2], none) for k in range(len(unit) - 1)]
-        while agenda and (least := min(agenda)) != none:
-            k = agenda.index(least)
-            pair = symbols[k] + symbols[k + 1]
-            piece = ids[pair]
-            if verdicts and verdicts[(piece * 40503 + places[k] * 9973) & (SLOTS - 1)]:
-                agenda[k] = none
-                continue
-            made.append((places[k], piece))
-            symbols[k] = pair
-            del symbols[k + 1], places[k + 1], agenda[k]
-            if k < len(agenda):
-                agenda[k] = score(pair + symbols[k + 1], none)
-            if k:
-                agenda[k - 1] = score(symbols[k - 1] + pair, none)
-        return self._ids(symbols), made
-
-    def _merge_long(self, unit: str, variant: int | None) -> tuple[tuple[int, ...], list[tuple[int, int]]]:
-        """The agenda as a heap, for units without spaces that run on."""
+        self.seed, self.threshold = seed, min(int(rate * 2**64), MASK)
+
+    def text_key(self, key: int) -> int:
+        return xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), self.seed)
+
+    @staticmethod
+    def unit_key(text_key: int, number: int) -> int:
+        """The key of a text's unit with this number."""
+        return mixed((text_key ^ (number + 1) * OF_UNIT) & MASK)
+
+    @staticmethod
+    def unit_keys(text_key: int, first: int, n: int) -> np.ndarray:
+        return mixed_all(np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(OF_UNIT) ^ np.uint64(text_key))
+
+    def skipped(self, key: int, place: int, piece: int) -> bool:
+        """The keyed hash's verdict on a candidate."""
+        return mixed((key + piece * OF_PIECE + (place + 1) * OF_PLACE) & MASK) < self.threshold
+
+    def skipped_all(self, keys: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        return mixed_all(keys + candidates) < np.uint64(self.threshold)
+
+    @staticmethod
+    def candidates(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """What a candidate adds to its unit's key."""
+        return piece.astype(np.uint64) * np.uint64(OF_PIECE) + (place + 1).astype(np.uint64) * np.uint64(OF_PLACE)
+
+    def merge(self, unit: str, key: int | None) -> tuple[tuple[int, ...], list[tuple[int, int]]]:
+        """(piece ids, merges made as (place, piece)) by an agenda on a heap. key None: nothing is skipped."""
         scores, ids, n = self.scores, self.ids, len(unit)
         symbols: list[str | None] = list(unit)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -161,7 +175,7 @@ class Codec:
             left = symbols[k]
             if left is None or (j := after[k]) >= n or len(left) + len(symbols[j]) != len(pair) or left + symbols[j] != pair:
                 continue
-            if variant is not None and self.skipped(variant, k, ids[pair]):
+            if key is not None and self.skipped(key, k, ids[pair]):
                 continue
             made.append((k, ids[pair]))
             symbols[k], symbols[j] = pair, None
@@ -180,105 +194,94 @@ class Codec:
         except KeyError:
             return tuple(k for s in symbols for k in ((self.ids[s],) if s in self.ids else (self.byte_ids[b] for b in s.encode())))
 
-    def unit(self, unit: str, variant: int) -> tuple[int, ...]:
-        found = self.cache.get((unit, variant))
-        if found is None:
-            if len(self.cache) > CACHED:
-                self.cache.clear()
-            known = self.plain.get(unit)
-            if known is None:
-                if len(self.plain) > CACHED // 4:
-                    self.plain.clear()
-                ids, made = self.merge(unit, None)
-                known = self.plain[unit] = (ids, tuple(made))
-            # Where no merge of the plain run is skipped, the run is the plain one.
-            found, verdicts = known[0], self.verdicts[variant]
-            for place, piece in known[1]:
-                if verdicts[(piece * 40503 + place * 9973) & (SLOTS - 1)]:
-                    found = self.merge(unit, variant)[0]
-                    break
-            self.cache[unit, variant] = found
-        return found
+    def units_of(self, text: str) -> Iterator[list[str]]:
+        """The units of a text, in parts that its own U+2581 divide."""
+        for part in (" " + text).split(SPACE) if text else ():
+            yield self.units.findall(part.replace(" ", SPACE))
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         """Piece ids; key: what tells this text from others, such as its doc_id."""
-        if not text:
-            return []
-        start = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), self.seed)
-        out: list[int] = []
-        place = 0
-        for number, part in enumerate((" " + text).split(SPACE)):
-            if number:
+        start, number, out = self.text_key(key), 0, []
+        for part, units in enumerate(self.units_of(text)):
+            if part:
                 out += (self.byte_ids[b] for b in SPACE.encode())
-            units = self.units.findall(part.replace(" ", SPACE))
-            variants = self.variants(start, place, len(units))
-            place += len(units)
-            cache = self.cache
-            for pair in zip(units, variants):
-                found = cache.get(pair)
-                out += self.unit(*pair) if found is None else found
+            for unit in units:
+                out += self.merge(unit, self.unit_key(start, number))[0]
+                number += 1
         return out
 
-    @staticmethod
-    def variants(start: int, place: int, n: int) -> list[int]:
-        x = (np.arange(place, place + n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(start)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((x ^ (x >> np.uint64(31))) % np.uint64(VARIANTS)).tolist()
-
-    def encode_units(self, units: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all units one after the other, how many each has)."""
+    def encode_units(self, units: list[str], which: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Units[which], each under its own key, or without skips: (ids one after the other, how many each has, candidates of the merges made, how many each has)."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (units, ids, how many)
-        odd = [np.flatnonzero(sizes > WIDTHS[-1])]
+        widths, n = sizes[which], len(which)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # (of which, ids)
+        made: list[tuple[np.ndarray, np.ndarray]] = []  # (of which, candidates)
         for low, width in zip((0, *WIDTHS), WIDTHS):
-            pick = np.flatnonzero((sizes > low) & (sizes <= width))
+            pick = np.flatnonzero((widths > low) & (widths <= width))
             if not len(pick):
                 continue
-            codes = np.array([units[k] for k in pick], f"<U{width}").view(np.uint32).reshape(-1, width)
-            symbols = np.where(np.arange(width) < sizes[pick, None], self.letters[codes], -1)
-            plain = (symbols >= 0).sum(1) == sizes[pick]
-            odd.append(pick[~plain])
-            for at in range(0, int(plain.sum()), 16384):
-                rows = np.flatnonzero(plain)[at : at + 16384]
-                merged = self._merge_in_step(symbols[rows], sizes[pick[rows]], variants[pick[rows]])
-                alive = merged >= 0
-                parts.append((pick[rows], merged[alive], alive.sum(1)))
-        for k in np.concatenate(odd):
-            ids = self.unit(units[k], int(variants[k]))
-            parts.append((np.array([k]), np.array(ids, np.int32), np.array([len(ids)])))
-        if not parts:
-            return np.empty(0, np.int32), np.zeros(0, np.int64)
-        which, ids, many = (np.concatenate(x) for x in zip(*parts))
-        counts = np.zeros(len(units), np.int64)
-        counts[which] = many
-        order = np.argsort(which, kind="stable")
-        return spread(ids, np.cumsum(many) - many, many, order), counts
-
-    def _merge_in_step(self, symbols: np.ndarray, sizes: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """Pieces at the places of their first characters, -1 elsewhere; one row for each unit."""
+            own, place = np.unique(which[pick], return_inverse=True)
+            codes = np.array([units[k] for k in own], f"<U{width}").view(np.uint32).reshape(-1, width).astype(np.int64)
+            letters = self.letters[codes]
+            letters = np.where(np.arange(width) < sizes[own, None], np.where(letters < 0, -2 - codes, letters), -1).astype(np.int32)
+            for at in range(0, len(pick), 16384):
+                rows = pick[at : at + 16384]
+                merged, of, candidates = self._merge_in_step(letters[place[at : at + 16384]], widths[rows], None if keys is None else keys[rows])
+                alive = merged != -1
+                found.append((np.repeat(rows, alive.sum(1)), merged[alive]))
+                made.append((rows[of], candidates))
+        for k in np.flatnonzero(widths > WIDTHS[-1]):
+            ids, merges = self.merge(units[which[k]], None if keys is None else int(keys[k]))
+            found.append((np.full(len(ids), k), np.array(ids, np.int32)))
+            if keys is None and merges:
+                made.append((np.full(len(merges), k), self.candidates(*np.array(merges, np.int64).T)))
+        ids, counts = gathered(found, n, np.int32)
+        return *self._with_bytes(ids, counts), *gathered(made, n, np.uint64)
+
+    def _with_bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters outside the vocabulary, as -2 - code point among the ids, become byte pieces."""
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, counts
+        different, inverse = np.unique(ids[odd], return_inverse=True)
+        pieces = [[self.byte_ids[b] for b in chr(-2 - c).encode()] for c in different.tolist()]
+        sizes = np.array(list(map(len, pieces)))
+        many = np.ones(len(ids), np.int64)
+        many[odd] = sizes[inverse]
+        values = np.r_[ids, np.concatenate(pieces).astype(np.int32)]
+        starts = np.arange(len(ids))
+        starts[odd] = len(ids) + (np.cumsum(sizes) - sizes)[inverse]
+        owner = np.repeat(np.arange(len(counts)), counts)
+        return spread(values, starts, many, np.arange(len(ids))), np.bincount(owner, many, len(counts)).astype(np.int64)
+
+    def _merge_in_step(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces at the places of their first characters, -1 elsewhere, one row for each unit; rows and candidates of the merges made, if none is skipped)."""
         n, width = symbols.shape
-        out = symbols
+        none = np.empty(0, np.int64), np.empty(0, np.uint64)
         if width == 1:
-            return out
+            return symbols, *none
         symbols = np.c_[symbols, np.full(n, -1, np.int32)]  # a place that stands for what isn't there
-        makes = np.full((n, width), -1, np.int32)
-        for k in range(width - 1):
-            there = np.flatnonzero(k + 1 < sizes)
-            makes[there, k] = self.pairs(symbols[there, k], symbols[there, k + 1])
+        makes = self.pairs(symbols[:, : width - 1].ravel(), symbols[:, 1:width].ravel()).reshape(n, width - 1)
+        makes = np.c_[makes, np.full(n, -1, np.int32)]
         turn = self.turn[makes]
         after = np.minimum(np.arange(1, width + 1)[None, :], sizes[:, None])
         after[after == sizes[:, None]] = width
         before = np.tile(np.arange(-1, width - 1), (n, 1))
         rows = np.arange(n)
+        made: list[tuple[np.ndarray, np.ndarray]] = []
         while len(rows):
             place = turn[rows].argmin(1)
             going = turn[rows, place] < NONE
             rows, place = rows[going], place[going]
-            piece = makes[rows, place]
-            skip = self.verdict_table[variants[rows], (piece.astype(np.int64) * 40503 + place * 9973) & (SLOTS - 1)]
-            turn[rows[skip], place[skip]] = NONE
-            r, k, piece = rows[~skip], place[~skip], piece[~skip]
+            r, k = rows, place
+            piece = makes[r, k]
+            candidates = self.candidates(k, piece)
+            if keys is None:
+                made.append((r, candidates))
+            else:
+                skip = self.skipped_all(keys[r], candidates)
+                turn[r[skip], k[skip]] = NONE
+                r, k, piece = r[~skip], k[~skip], piece[~skip]
             gone = after[r, k]
             far = after[r, gone]
             symbols[r, k], symbols[r, gone] = piece, -1
@@ -286,51 +289,69 @@ class Codec:
             after[r, k] = far
             inner = far < width
             before[r[inner], far[inner]] = k[inner]
-            made = np.full(len(r), -1, np.int32)
-            made[inner] = self.pairs(piece[inner], symbols[r[inner], far[inner]])
-            makes[r, k], turn[r, k] = made, self.turn[made]
+            longer = np.full(len(r), -1, np.int32)
+            longer[inner] = self.pairs(piece[inner], symbols[r[inner], far[inner]])
+            makes[r, k], turn[r, k] = longer, self.turn[longer]
             back = before[r, k]
             inner = back >= 0
             r, back = r[inner], back[inner]
-            made = self.pairs(symbols[r, back], piece[inner])
-            makes[r, back], turn[r, back] = made, self.turn[made]
-        return symbols[:, :width]
+            longer = self.pairs(symbols[r, back], piece[inner])
+            makes[r, back], turn[r, back] = longer, self.turn[longer]
+        return symbols[:, :width], *(np.concatenate(x) for x in zip(none, *made))
 
     def encode_batch(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's begin, and the end)."""
-        known: dict[str, int] = {}
-        numbers, variants, ends = [], [], [0]
+        known = Numbers({"": 0})  # the unit 0 stands for the text's own U+2581
+        numbers, own_keys, ends = [], [], [0]
         for text, key in zip(texts, keys):
-            start, place = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), self.seed), 0
-            for number, part in enumerate((" " + text).split(SPACE) if text else ()):
-                units = self.units.findall(part.replace(" ", SPACE))
-                if number:  # the text's own U+2581
-                    numbers.append(np.array([-1], np.int64))
-                    variants.append(np.zeros(1, np.int64))
-                numbers.append(np.fromiter((known.setdefault(u, len(known)) for u in units), np.int64, len(units)))
-                variants.append(np.array(self.variants(start, place, len(units)), np.int64))
-                place += len(units)
+            start, first = self.text_key(key), 0
+            for part, units in enumerate(self.units_of(text)):
+                if part:
+                    numbers.append(np.zeros(1, np.int64))
+                    own_keys.append(np.zeros(1, np.uint64))
+                numbers.append(np.fromiter(map(known.__getitem__, units), np.int64, len(units)))
+                own_keys.append(self.unit_keys(start, first, len(units)))
+                first += len(units)
             ends.append(len(numbers))
         if not numbers:
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         lengths = np.r_[0, np.cumsum([len(x) for x in numbers])]
-        wanted = np.concatenate(numbers) * VARIANTS + np.concatenate(variants)
-        pairs, inverse = np.unique(wanted, return_inverse=True)
+        number, key = np.concatenate(numbers), np.concatenate(own_keys)
         names = list(known)
-        own = pairs < 0  # the text's own U+2581
-        ids, counts = self.encode_units([names[k] for k in pairs[~own] // VARIANTS], pairs[~own] % VARIANTS)
-        if own.any():
-            marks = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32)
-            ids, counts = np.r_[np.tile(marks, int(own.sum())), ids], np.r_[np.full(int(own.sum()), len(marks)), counts]
-        flat = spread(ids, np.cumsum(counts) - counts, counts, inverse)
-        sums = np.r_[0, np.cumsum(counts[inverse])]
+        ids, counts, candidates, many = self.encode_units(names, np.arange(len(names)), None)
+        mark = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32)
+        ids, counts = np.r_[mark, ids], np.r_[len(mark), counts[1:]]
+        hit = self._hit(number, key, candidates, many)
+        again, again_counts, _, _ = self.encode_units(names, number[hit], key[hit])
+        ids, counts = np.r_[ids, again], np.r_[counts, again_counts]
+        number[hit] = len(names) + np.arange(len(hit))
+        flat = spread(ids, np.cumsum(counts) - counts, counts, number)
+        sums = np.r_[0, np.cumsum(counts[number])]
         return flat, sums[lengths[ends]]
 
+    def _hit(self, number: np.ndarray, keys: np.ndarray, candidates: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """The occurrences (unit's number, key) of which a candidate is skipped; some at a time."""
+        found, starts, all_ends = [], np.cumsum(many) - many, np.cumsum(many[number])
+        at = 0
+        while at < len(number):
+            stop = max(at + 1, int(np.searchsorted(all_ends, (all_ends[at - 1] if at else 0) + AT_A_TIME, "right")))
+            some, n = number[at:stop], many[number[at:stop]]
+            verdict = self.skipped_all(np.repeat(keys[at:stop], n), spread(candidates, starts, many, some))
+            found.append(at + np.unique(np.searchsorted(np.cumsum(n), np.flatnonzero(verdict), "right")))
+            at = stop
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
     def decode(self, ids: list[int]) -> str:
         """The text, without the space in front."""
         return b"".join(map(self.shown.__getitem__, ids)).decode()[1:]
 
 
+def gathered(parts: list[tuple[np.ndarray, np.ndarray]], n: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values one after the other by owner, how many each of n owners has) from parts (owner, values)."""
+    owner, values = (np.concatenate([np.empty(0, t), *x]) for t, x in zip((np.int64, kind), zip(*parts) if parts else ((), ())))
+    return values[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n)
+
+
 def spread(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The runs values[start : start + count] one after the other, in the given order."""
     many = counts[order]
