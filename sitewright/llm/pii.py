@@ -13,11 +13,12 @@ more pass over the texts that runs if there are candidates; terms that stand bes
 threshold at any df(t) are no candidates.
 
 Spans come from pairs of regexp_extract_all and split: they see the same matches, and the lengths of the pieces give
-positions in code points. The patterns are written so that Java's matcher needs neither backtracking over long runs nor
+positions in code points. Running sums go by blocks of about the root of their number, and texts are read at a place by
+blocks of code points, so the work on one text of n matches grows with n to the power of 1.5 at most. The patterns are written so that Java's matcher needs neither backtracking over long runs nor
 recursion: a run's first character (or the end of the last match) is the only place where a match can begin.
 
 Nulls: a null text is empty and has no spans. Repeated rows give repeated results; each counts as a document. An empty
-table gives an empty result.
+table gives an empty result. Where changes of a sanitised text overlap, the first one's text stands for all they cover.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from sitewright.llm.common import text_of, written
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = KINDS.index("term")
 WINDOW = 60
+BLOCK = 1024
 CONTEXTS = 3
 REMOVE, GENERALISE = 0.9, 0.7
 LABELS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>")
@@ -46,23 +48,63 @@ PATTERNS = (
 OCTETS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
+TERM_TYPE = "struct<start:bigint,end:bigint,value:string,level:string>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The value that op has made of an array of whole numbers (none negative) so far, at each of its places."""
+    zero = F.lit(0).cast("bigint")
+
+    def folded(first: Column, array: Column) -> Column:
+        return F.aggregate(array, F.array(first), lambda done, x: F.concat(done, F.array(op(F.element_at(done, F.lit(-1)), x))))
+
+    def by_blocks(array: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(array))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / width).cast("int")), lambda k: F.slice(array, k * width + 1, width))
+        whole = lambda blocks: folded(zero, F.transform(blocks, lambda x: F.aggregate(x, zero, op)))
+        return let(blocks, lambda blocks: let(whole(blocks), lambda before: F.flatten(F.transform(blocks, lambda x, k: F.slice(folded(F.get(before, k), x), F.lit(2), F.size(x))))))
+
+    return let(values, lambda array: F.when(F.size(array) > 0, by_blocks(array)).otherwise(F.array().cast("array<bigint>")))
 
 
 def matches(text: Column, pattern: str, kind: int, offset: Column | None = None, wanted: Callable[[Column], Column] | None = None) -> Column:
     """Spans (kind, start, end, value) of all matches, leftmost and not overlapping; of those whose value is wanted, if asked."""
     offset = F.lit(0).cast("bigint") if offset is None else offset.cast("bigint")
-    pieces = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    none = F.array().cast(SPAN)
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+    def spans(x: Column, ends: Column) -> Column:
+        def span(value: Column, k: Column) -> Column:
+            end = offset + F.get(ends, k)
+            whole = F.struct(F.lit(kind).alias("kind"), (end - F.char_length(value)).cast("bigint").alias("start"), end.cast("bigint").alias("end"), value.alias("value"))
+            return whole if wanted is None else F.when(wanted(value), whole)
 
-    def step(done: Column, piece: Column) -> Column:
-        between, found = piece.getField("0"), piece.getField("1")
-        start = done.at + F.char_length(between)
-        end = start + F.char_length(found)
-        span = F.struct(F.lit(kind).alias("kind"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), found.alias("value"))
-        longer = F.concat(done.spans, F.array(span))
-        spans = longer if wanted is None else F.when(wanted(found), longer).otherwise(done.spans)
-        return F.when(found.isNull(), done).otherwise(F.struct(end.cast("bigint").alias("at"), spans.alias("spans")))
+        found = F.transform(x.found, span)
+        return found if wanted is None else F.filter(found, lambda y: y.isNotNull())
 
-    return F.aggregate(pieces, F.struct(offset.alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda done: done.spans)
+    sizes = lambda x: F.transform(x.found, lambda value, k: (F.char_length(F.get(x.gaps, k)) + F.char_length(value)).cast("bigint"))
+    return let(both, lambda x: F.when(F.size(x.found) > 0, let(running(sizes(x), lambda a, b: a + b), lambda ends: spans(x, ends))).otherwise(none))
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, for `part`."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+
+
+def part(blocks: Column, start: Column, size: Column) -> Column:
+    """Code points start to start + size of a text in blocks; less where it ends before."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((start + F.greatest(size, F.lit(1)) - 1) / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), (start - first * BLOCK + 1).cast("int"), size.cast("int"))
 
 
 def digits(value: Column) -> Column:
@@ -80,14 +122,12 @@ def entity_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def window_terms(text: Column, span: Column) -> Column:
+def window_terms(blocks: Column, span: Column) -> Column:
     """Words of three or more letters within WINDOW code points of a span; words cut by the window's edge are left out."""
     before_at = F.greatest(span.start - WINDOW, F.lit(0)).cast("bigint")
-    before = F.substring(text, (before_at + 1).cast("int"), (span.start - before_at).cast("int"))
-    after = F.substring(text, (span.end + 1).cast("int"), F.lit(WINDOW))
-    after_end = span.end + F.char_length(after)
+    before, after = part(blocks, before_at, span.start - before_at), part(blocks, span.end, F.lit(WINDOW))
     left = F.filter(matches(before, WORD, TERM, before_at), lambda t: (t.start > before_at) | (before_at == 0))
-    right = F.filter(matches(after, WORD, TERM, span.end), lambda t: (t.end < after_end) | (F.char_length(after) < WINDOW))
+    right = let(after, lambda after: F.filter(matches(after, WORD, TERM, span.end), lambda t: (t.end < span.end + F.char_length(after)) | (F.char_length(after) < WINDOW)))
     return F.concat(left, right)
 
 
@@ -101,9 +141,15 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", contexts: int
 
     row numbers the rows of the written scan; terms are (start, end, value, level), level 'remove' or 'generalise'.
     """
+    return _scanned(docs, text, key, contexts, remove, generalise).select("doc_id", "row", "base", "terms")
+
+
+def _scanned(docs: DataFrame, text: str, key: str, contexts: int = CONTEXTS, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+    """What `scan` gives, with the text t."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("t"))
     found = rows.select("doc_id", "t", entity_spans(F.col("t")).alias("base"))
-    near = F.when(F.size("base") > 0, F.transform("base", lambda s: F.struct(s.kind.alias("kind"), F.lower(s.value).alias("value"), window_terms(F.col("t"), s).alias("words")))).otherwise(F.array())
+    around = lambda blocks: F.transform("base", lambda s: F.struct(s.kind.alias("kind"), F.lower(s.value).alias("value"), window_terms(blocks, s).alias("words")))
+    near = F.when(F.size("base") > 0, let(blocks_of(F.col("t")), around)).otherwise(F.array())
     base = written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "t", "base", near.alias("near")), "entities")
 
     seen = base.where(F.size("near") > 0).select("row", F.explode("near").alias("n"))
@@ -132,29 +178,39 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", contexts: int
     spans = matches(F.col("t"), WORD, TERM, wanted=lambda value: level(value).isNotNull())
     terms = F.transform(spans, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.value.alias("value"), level(x.value).alias("level")))
     by_row = base.select("row", "t").join(held, "row").select("row", terms.alias("terms"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,level:string>>")
-    return base.select("row", "doc_id", "base").join(by_row, "row", "left").select("doc_id", "row", "base", F.coalesce("terms", none).alias("terms"))
+    none = F.array().cast(f"array<{TERM_TYPE}>")
+    return base.select("row", "doc_id", "t", "base").join(by_row, "row", "left").select("doc_id", "row", "t", "base", F.coalesce("terms", none).alias("terms"))
+
+
+def free_terms(base: str = "base", terms: str = "terms") -> Column:
+    """The terms that overlap no base span, by start. In the order of base spans' starts and terms' ends, a term is free if no base span so far ends behind its start."""
+    begun = F.transform(base, lambda b: F.struct(b.start.alias("at"), F.lit(1).alias("later"), b.end.alias("reach"), F.lit(None).cast(TERM_TYPE).alias("term")))
+    ended = F.transform(terms, lambda t: F.struct(t.end.alias("at"), F.lit(0).alias("later"), F.lit(0).cast("bigint").alias("reach"), t.alias("term")))
+    reach = lambda events: running(F.transform(events, lambda e: e.reach), later)
+    free = lambda events, reach: F.transform(events, lambda e, k: F.when(F.get(reach, k) <= e.term.start, e.term))
+    found = let(F.array_sort(F.concat(begun, ended)), lambda events: F.filter(let(reach(events), lambda r: free(events, r)), lambda t: t.isNotNull()))
+    return F.when((F.size(base) == 0) | (F.size(terms) == 0), F.col(terms)).otherwise(found)
 
 
 def all_spans(base: str = "base", terms: str = "terms") -> Column:
     """Base spans in their order, then the terms that overlap none of them, by start."""
-    return F.expr(f"concat({base}, transform(filter({terms}, t -> not exists({base}, b -> b.start < t.end and t.start < b.end)), t -> struct({TERM} as kind, t.start as start, t.end as end, t.value as value)))")
+    return F.concat(F.col(base), F.transform(free_terms(base, terms), lambda t: F.struct(F.lit(TERM).alias("kind"), t.start.alias("start"), t.end.alias("end"), t.value.alias("value"))))
 
 
 def sanitised(docs: DataFrame, text: str = "text", key: str = "doc_id", **options: float) -> DataFrame:
-    """(doc_id, text): entities become their kind, disclosing terms go or become <NAME> (capitalised) or <WORD>.
-
-    Found spans meet their texts by a hash of the text beside the doc_id, so rows that share a doc_id don't mix.
-    """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("t")).withColumn("text_hash", F.xxhash64("t"))
-    found = scan(rows, "t", "text_hash", **options).withColumnRenamed("doc_id", "text_hash")
-    label = F.expr("transform(base, b -> struct(b.start as start, b.end as end, element_at(array(" + ", ".join(f"'{x}'" for x in LABELS) + "), b.kind + 1) as put))")
-    term = F.expr(f"transform(filter(terms, t -> not exists(base, b -> b.start < t.end and t.start < b.end)), t -> struct(t.start as start, t.end as end, case when t.level = 'remove' then '{REMOVED}' when t.value rlike '^[\\\\p{{Lu}}]' then '{GENERAL_NAME}' else '{GENERAL_WORD}' end as put))")
-    changes = found.where("size(base) > 0 or size(terms) > 0").groupBy("text_hash").agg(F.first(F.array_sort(F.concat(label, term))).alias("changes"))
-    done = F.aggregate(
-        "changes",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda a, c: F.when(c.start < a.at, a).otherwise(F.struct(c.end.cast("bigint").alias("at"), F.concat(a.out, F.substring(F.col("t"), (a.at + 1).cast("int"), (c.start - a.at).cast("int")), c.put).alias("out"))),
-        lambda a: F.concat(a.out, F.substring(F.col("t"), (a.at + 1).cast("int"), F.lit(2**31 - 1))),
-    )
-    return rows.join(changes, "text_hash", "left").select("doc_id", F.when(F.col("changes").isNull(), F.col("t")).otherwise(done).alias("text"))
+    """(doc_id, text): entities become their kind, disclosing terms go or become <NAME> (capitalised) or <WORD>."""
+    found = _scanned(docs, text, key, **options)
+    names = F.array(*map(F.lit, LABELS))
+    label = F.transform("base", lambda b: F.struct(b.start.alias("start"), b.end.alias("end"), F.get(names, b.kind).alias("put")))
+    put = lambda t: F.when(t.level == "remove", REMOVED).when(t.value.rlike(r"^[\p{Lu}]"), GENERAL_NAME).otherwise(GENERAL_WORD)
+    term = F.transform(free_terms(), lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), put(t).alias("put")))
+    changed = found.select("doc_id", "t", F.array_sort(F.concat(label, term)).alias("changes"))
+
+    def rewritten(blocks: Column, reach: Column) -> Column:
+        before = lambda k: F.coalesce(F.when(k > 0, F.get(reach, k - 1)), F.lit(0))
+        kept = F.transform("changes", lambda c, k: F.when(c.start >= before(k), F.concat(part(blocks, before(k), c.start - before(k)), c.put)).otherwise(""))
+        end = F.element_at(reach, F.lit(-1))
+        return F.concat(F.array_join(kept, ""), part(blocks, end, F.char_length("t") - end))
+
+    done = let(blocks_of(F.col("t")), lambda blocks: let(running(F.transform("changes", lambda c: c.end), later), lambda reach: rewritten(blocks, reach)))
+    return changed.select("doc_id", F.when(F.size("changes") > 0, done).otherwise(F.col("t")).alias("text"))
