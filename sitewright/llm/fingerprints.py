@@ -5,16 +5,17 @@ weight of the term, on 128 signed bits; the signs are the fingerprint. A pair we
 counts by its logarithm, so that common words of a language don't make strangers look alike. The likeness of two
 fingerprints is the cosine that the share of differing bits stands for, at least 0.
 
-`near` finds all fingerprints within a Hamming radius r: 128 bits are cut into r + 1 blocks, and in the table of each
-block (the fingerprint with that block permuted to the front) equal front blocks give the candidates, which are checked
-in full. No near fingerprint can miss every table. Equal fingerprints are one entry with a count. A front block that
-very many entries share is cut into runs that meet in tasks of their own.
+`near` and `near_counts` find all fingerprints within a Hamming radius r. 128 bits are cut into blocks, and a table for each
+block (or each choice of two or three blocks, where there are very many fingerprints) has them permuted to the front: equal
+fronts give the candidates, which are checked in full. With r + k blocks and fronts of k of them, no near fingerprint can
+miss every table. Equal fingerprints are one entry with a count. A front that very many entries share is cut into runs that
+meet in tasks of their own.
 
 `with_next` gives each row of a table its successor by doc_id without bringing the table together: rows are dealt by
 ranges of doc_id and sorted there; the last row of a range, whose successor is elsewhere, is handed on as an exception.
 
 `near_counts` gives how many rows each query has within the radius, not the pairs: the tables' runs are searched in place,
-and a pair counts in the first table where its blocks agree.
+and a pair counts in the first table where its blocks agree. The radius of 7 is the widest that blocks of 16 bits serve.
 
 Nulls: a null text is an empty text, with no terms and the fingerprint of all zeros. Rows without a doc_id come first
 in the order. Rows with the same doc_id follow each other in the order of their texts. A table of one row is its own
@@ -27,6 +28,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,8 @@ from sitewright.llm.common import map_batches, shuffle_partitions, text_of, writ
 BITS = 128
 PAIR_WEIGHT, WORD_WEIGHT = 4, 1
 TILE = 2048
-RADIUS = 3
+RADIUS = 7
+FRONT = 1024
 _TABLE = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), 1, -1).astype(np.int32)
 
 
@@ -145,50 +148,71 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 # --- search
 
 
-def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """prints, queries (fingerprint string, in hex) -> (fingerprint, near): rows of prints within the radius of each different query."""
-    if not 2 <= radius <= 7:
-        raise ValueError("radius 2 to 7, for blocks of 16 to 43 bits")
+def tables_for(entries: int, radius: int) -> tuple[int, list[tuple[int, ...]]]:
+    """(number of blocks, the blocks in front in each table): as few tables as leave evenly spread entries some FRONT to a front, up to three blocks."""
+    agree = 1
+    while agree < 3 and entries >> (BITS * agree // (radius + agree)) > FRONT:
+        agree += 1
+    return radius + agree, list(combinations(range(radius + agree), agree))
+
+
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, tile: int = TILE, front: int | None = None) -> DataFrame:
+    """prints, queries (fingerprint string, in hex) -> (fingerprint, near): rows of prints within the radius of each different query.
+
+    front: how many blocks stand in front, instead of as many as the number of entries asks for.
+    """
+    if not 1 <= radius <= 15:
+        raise ValueError("radius 1 to 15, for blocks of 8 to 64 bits")
     spark = prints.sparkSession
 
     def entries(df: DataFrame, asked: bool) -> DataFrame:
         return df.where(F.col("fingerprint").rlike(f"^[0-9a-f]{{{BITS // 4}}}$")).groupBy(F.unhex("fingerprint").alias("fp")).agg(F.count("*").alias("rows")).select("fp", "rows", F.lit(asked).alias("asked"))
 
+    all_entries = written(entries(prints, False).unionByName(entries(queries, True)), "entries")
+    many, tables = (radius + front, list(combinations(range(radius + front), front))) if front else tables_for(all_entries.count(), radius)
+
     def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = blocks_of(batch.column(0).to_pylist(), radius + 1)
-            keys = [block.astype(np.int64) ^ (k << 56) for k, block in enumerate(blocks)]
-            many = radius + 1
-            each = pa.array(np.repeat(np.arange(batch.num_rows), many))
-            yield pa.RecordBatch.from_arrays([*(c.take(each) for c in batch.columns), pa.array(np.stack(keys, 1).ravel()), pa.array(np.tile(np.arange(many, dtype=np.int32), batch.num_rows))], names=["fp", "rows", "asked", "front", "block"])
-
-    kinds = "fp binary, rows long, asked boolean"
-    dealt = map_batches(entries(prints, False).unionByName(entries(queries, True)), fronts, f"{kinds}, front long, block int")
+            blocks = blocks_of(batch.column(0).to_pylist(), many)
+            keys = []
+            for number, chosen in enumerate(tables):
+                key = np.full(batch.num_rows, number, np.uint64)
+                for k in chosen:  # strangers whose fronts fall together are told apart by their bits
+                    key = (key ^ blocks[k]) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(32)
+                keys.append(key.view(np.int64))
+            each = pa.array(np.repeat(np.arange(batch.num_rows), len(tables)))
+            yield pa.RecordBatch.from_arrays([*(c.take(each) for c in batch.columns), pa.array(np.stack(keys, 1).ravel()), pa.array(np.tile(np.arange(len(tables), dtype=np.int16), batch.num_rows))], names=["fp", "rows", "asked", "front", "number"])
+
+    dealt = map_batches(all_entries, fronts, "fp binary, rows long, asked boolean, front long, number smallint")
+    place = ["front", "number", "run"]
     crowded = dealt.where("not asked").groupBy("front").count().where(F.col("count") > tile).select("front", F.ceil(F.col("count") / tile).alias("runs"))
     runs = F.coalesce("runs", F.lit(1))
     every = F.sequence(F.lit(0).cast("long"), runs - 1)
-    # A query goes to each run of its block, an entry to one.
-    placed = dealt.join(crowded, "front", "left").select("fp", "rows", "asked", "front", "block", F.explode(F.when(F.col("asked"), every).otherwise(F.array(F.pmod(F.xxhash64("fp"), runs)))).alias("run"))
-    together = placed.repartition(shuffle_partitions(spark), "front", "run").sortWithinPartitions("front", "run")
+    # A query goes to each run of its front, an entry to one.
+    placed = dealt.join(crowded, "front", "left").select("fp", "rows", "asked", "front", "number", F.explode(F.when(F.col("asked"), every).otherwise(F.array(F.pmod(F.xxhash64("fp"), runs)))).alias("run"))
+    together = placed.repartition(shuffle_partitions(spark), *place).sortWithinPartitions(*place)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: pa.RecordBatch) -> pa.RecordBatch:
             fps, found = rows.column(0).to_pylist(), []
             words = np.frombuffer(b"".join(fps), ">u8").reshape(-1, 2)
-            weight, asked, block = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 4))
-            front, run = rows.column(3).to_numpy(), rows.column(5).to_numpy()
-            cuts = np.flatnonzero(np.r_[True, (front[1:] != front[:-1]) | (run[1:] != run[:-1]), True])
+            weight, asked, number = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 4))
+            where = np.stack([rows.column(k).to_numpy() for k in (3, 4, 5)], 1)
+            cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1), True])
             has = np.add.reduceat(asked.astype(np.int64), cuts[:-1])
             for k in np.flatnonzero((has > 0) & (has < np.diff(cuts))):
                 here = np.arange(cuts[k], cuts[k + 1])
                 entry, ask = here[~asked[here]], here[asked[here]]
-                blocks, base = blocks_of(None, radius + 1, words[here]), cuts[k]
+                chosen = tables[number[cuts[k]]]
+                blocks, base = blocks_of(None, many, words[here]), cuts[k]
                 for q in ask:
-                    near = np.bitwise_count(words[entry] ^ words[q]).sum(1, dtype=np.int64) <= radius
-                    for earlier in range(block[q]):
-                        near &= blocks[earlier][entry - base] != blocks[earlier][q - base]
-                    if near.any():
-                        found.append((fps[q], int(weight[entry[near]].sum())))
+                    near = entry[np.bitwise_count(words[entry] ^ words[q]).sum(1, dtype=np.int64) <= radius]
+                    if len(near):
+                        same = np.stack([blocks[b][near - base] == blocks[b][q - base] for b in range(chosen[-1] + 1)])
+                        near = near[same[list(chosen)].all(0) & (same.sum(0) == len(chosen))]  # no table before this one has both in one front
+                    if len(near):
+                        found.append((fps[q], int(weight[near].sum())))
             return pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["fp", "near"])
 
         held: list[pa.RecordBatch] = []
@@ -196,7 +220,7 @@ def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, til
             held.append(batch)
             if sum(b.num_rows for b in held) >= 16384:  # all rows of a run stay together
                 rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                where = np.stack([rows.column(k).to_numpy() for k in (3, 5)], 1)
+                where = np.stack([rows.column(k).to_numpy() for k in (3, 4, 5)], 1)
                 cut = int(np.argmax((where == where[-1]).all(1)))
                 if cut:
                     yield out(rows.slice(0, cut))
@@ -205,7 +229,7 @@ def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, til
             yield out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     found = map_batches(together, search, "fp binary, near long").groupBy("fp").agg(F.sum("near").alias("near"))
-    wanted = entries(queries, True).select("fp")
+    wanted = all_entries.where("asked").select("fp")
     return wanted.join(found, "fp", "left").select(F.lower(F.hex("fp")).alias("fingerprint"), F.coalesce("near", F.lit(0)).alias("near"))
 
 

@@ -36,7 +36,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_near: for each doc_id divisible by 20, how many other rows of the table have a fingerprint within 3 bits; else null."""
+    """n_near: for each doc_id divisible by 20, how many other rows of the table have a fingerprint within 7 of 128 bits; else null."""
     found = fingerprints.with_next(table(spark, sf_dir, "documents"))
     asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
     near = fingerprints.near_counts(found.select("fingerprint"), found.where(asked).select("fingerprint"))

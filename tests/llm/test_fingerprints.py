@@ -53,7 +53,7 @@ def test_table_by_brute_force(spark, tmp_path):
     rows = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got]
     assert sorted(rows, key=repr) == sorted(expected, key=repr)
     prints = [(e[0], int(e[3], 16)) for e in expected]
-    near = {d: sum((p ^ q).bit_count() <= 3 for _, q in prints) - 1 for d, p in prints if d is not None and d % 20 == 0}
+    near = {d: sum((p ^ q).bit_count() <= FP.RADIUS for _, q in prints) - 1 for d, p in prints if d is not None and d % 20 == 0}
     assert {(r.doc_id, r.n_near) for r in got if r.n_near is not None} == set(near.items()) and near
 
 
@@ -73,9 +73,10 @@ def test_search_finds_all(spark):
     for radius, tile in ((3, 2048), (3, 16), (0, 4), (7, 32)):
         expected = sorted((q, p, d) for q in asked for p in prints if (d := (int(q, 16) ^ int(p, 16)).bit_count()) <= radius)
         assert as_rows(FP.near(frame, wanted, radius, tile), "query", "fingerprint", "distance") == expected
-    for radius, tile in ((3, 2048), (3, 16), (2, 8), (7, 32)):
+    assert [len(FP.tables_for(n, 7)[1]) for n in (10**6, 10**8, 10**12)] == [8, 36, 120]
+    for radius, tile, front in ((3, 2048, None), (3, 16, 2), (2, 8, 1), (7, 32, None), (7, 16, 2), (7, 2048, 3), (1, 8, None), (15, 8, 1)):
         weighted = sorted(prints) + [asked[0]]
         expected = sorted((q, sum((int(q, 16) ^ int(p, 16)).bit_count() <= radius for p in weighted)) for q in asked)
-        assert as_rows(FP.near_counts(frame, wanted, radius, tile), "fingerprint", "near") == expected
+        assert as_rows(FP.near_counts(frame, wanted, radius, tile, front), "fingerprint", "near") == expected
     assert FP.near_counts(frame.where("false"), wanted.where("false")).count() == 0
     assert math.isclose(FP.likeness(bytes(16), bytes(8) + b"\xff" * 8), 0.0, abs_tol=1e-9)
