@@ -48,6 +48,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+HOT = 1000
+
+
+def joined_apart(many: DataFrame, one: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """many with the columns of one, which has one row for each key and in `rows` how many rows of many have it. Both are written tables.
+
+    Keys with more than a HOT-th of all rows, of which there can be HOT at most, are sent to every task; the rest is dealt
+    by key, so no task gets more than a HOT-th of the rows for one key.
+    """
+    total = one.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(one.where(F.col(rows) * HOT > total).drop(rows))
+    cold = one.where(F.col(rows) * HOT <= total).drop(rows)
+    return many.join(hot, keys).unionByName(many.join(hot.select(keys), keys, "left_anti").join(cold, keys))
+
+
 def text_of(column: str = "text") -> Column:
     """The text of a row; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

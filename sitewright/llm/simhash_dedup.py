@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import map_batches, shuffle_partitions, text_of, written
+from sitewright.llm.common import joined_apart, map_batches, shuffle_partitions, text_of, written
 from sitewright.llm.components import components, forest
 
 RADIUS = 3
@@ -225,12 +225,12 @@ def near_links(codes: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs."""
     prints = written(fingerprints(docs, text, key, size), "fingerprints")
-    codes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "codes")
+    codes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "codes")
     roots = written(components(near_links(codes.select("fp"), radius, tile)), "roots")
-    linked = codes.join(roots, codes.fp == roots.node).select("fp", "root", "first_id")
-    named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    of_code = codes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(of_code, "fp").select("doc_id", "fp", "component_id")
+    linked = written(codes.join(roots, codes.fp == roots.node).select("fp", "root", "first_id", "rows"), "linked")
+    named = joined_apart(linked, written(linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "named"), ["root"], "members")
+    of_code = codes.join(named.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "rows")
+    return joined_apart(prints, written(of_code, "of_code"), ["fp"], "rows").select("doc_id", "fp", "component_id")
 
 
 # --- copies of a given similarity
@@ -265,7 +265,7 @@ def wide_radius(similarity: float) -> int:
 
 def tables_for(codes: int, similarity: float) -> tuple[int, int]:
     """(bits of a table's key, tables): some 64 fingerprints a key, and at most MISSED of the pairs at the threshold beyond the radius or without a meeting."""
-    bits = min(24, max(8, codes.bit_length() - 6))
+    bits = min(32, max(8, codes.bit_length() - 6))
     n, p = 64 * WORDS, differing(similarity)
     apart = [(math.comb(n, d) * p**d * (1 - p) ** (n - d), 1 - (1 - d / n) ** bits) for d in range(wide_radius(similarity) + 1)]
     beyond, tables = 1 - sum(share for share, _ in apart), 1
@@ -430,7 +430,7 @@ def rows_of_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", sim
     kinds = "doc_id long, text_hash long, fp long, digest long, n long, w0 long, w1 long, w2 long, w3 long, shingles array<long>"
     prints = written(map_batches(rows, run, kinds).withColumn("row", F.monotonically_increasing_id()), "prints")
     of_text = [F.min(c).alias(c) for c in ("n", *WIDE)]
-    codes = written(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("uid"), *of_text), "codes")
+    codes = written(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("uid"), F.count("*").alias("rows"), *of_text), "codes")
     exact = written(components(near_links(codes.select("fp").distinct(), RADIUS, tile)), "exact")
     grouped = codes.join(exact, codes.fp == exact.node, "left").select("uid", F.coalesce("root", "fp").alias("g"))
     of_print = grouped.join(grouped.groupBy("g").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1"), "g").select(F.col("uid").alias("a"), "b")
@@ -441,9 +441,10 @@ def rows_of_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", sim
     candidates = written(near.join(sets, near.node == sets.uid).select("node", "root", "n"), "candidates")
     similar = verified_links(candidates, prints.select(F.col("row").alias("uid"), "shingles"), similarity)
     roots = written(components(of_print.unionByName(of_set).unionByName(similar)), "roots")
-    named = codes.join(roots, codes.uid == roots.node, "left").select("fp", "digest", "first_id", F.coalesce("root", "uid").alias("root"))
-    known = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "digest", "root", "component_id")
-    return prints.join(known, ["fp", "digest"]).select("doc_id", "text_hash", "root", "component_id")
+    named = written(codes.join(roots, codes.uid == roots.node, "left").select("fp", "digest", "first_id", "rows", F.coalesce("root", "uid").alias("root")), "named")
+    of_root = written(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "of_root")
+    known = written(joined_apart(named, of_root, ["root"], "members").select("fp", "digest", "root", "component_id", "rows"), "known")
+    return joined_apart(prints.select("fp", "digest", "doc_id", "text_hash"), known, ["fp", "digest"], "rows").select("doc_id", "text_hash", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -460,5 +461,6 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     kept = docs.withColumn(_TEXT, F.xxhash64(text_of("text"))).join(ids.select(place).hint("shuffle_hash"), place, "left_semi")
     twice = ids.where("rows > 1").select(place)
     if not twice.isEmpty():
-        kept = kept.join(twice, place, "left_anti").unionByName(kept.join(twice, place, "left_semi").dropDuplicates(place))
+        again = kept.join(twice, place, "left_semi").groupBy(place).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("x")).select("x.*")
+        kept = kept.join(twice, place, "left_anti").select(docs.columns).unionByName(again)
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sitewright.llm import queries, simhash_dedup
 from sitewright.llm.components import components, forest
@@ -205,6 +206,24 @@ def test_one_of_each_where_a_doc_id_repeats(spark):
     assert len(as_rows(simhash_dedup.one_of_each(docs(spark, same)), "doc_id", "text")) == 3
 
 
+def test_one_of_equal_rows_is_always_the_same(spark):
+    frame = docs(spark, [(1, "a b c"), (1, "a b c")]).withColumn("source", F.expr("concat('s', monotonically_increasing_id())"))
+    assert as_rows(frame.sort("source").transform(simhash_dedup.one_of_each)) == as_rows(frame.sort(F.desc("source")).transform(simhash_dedup.one_of_each))
+
+
+def test_recall_right_at_the_threshold(spark):
+    """Of pairs with a similarity from 0.80 to 0.85 on their 5-word shingles, 0.95 or more are linked, and none below 0.8."""
+    rows = [(k, words(20000 + k, 250)) for k in range(500)]
+    rows += [(1000 + k, edited(t, 0.018 + 0.006 * (k % 5) / 5, k)) for k, t in rows]
+    sets = shingle_sets(rows)
+    similarity = {k: len(sets[k] & sets[1000 + k]) / len(sets[k] | sets[1000 + k]) for k in range(500)}
+    found = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(docs(spark, rows)).collect()}
+    exact = {k for k in range(500) if (plain_print(rows[k][1]) ^ plain_print(rows[500 + k][1])).bit_count() <= 3}
+    close = [k for k, x in similarity.items() if 0.8 <= x < 0.85]
+    assert len(close) >= 100 and sum(found[1000 + k] == k for k in close) >= 0.95 * len(close)
+    assert not any(found[1000 + k] == k for k, x in similarity.items() if x < 0.8 and k not in exact)
+
+
 def test_long_texts_in_parts(monkeypatch):
     text = words(4, 500).encode()
     whole = simhash_dedup.simhash(text)
