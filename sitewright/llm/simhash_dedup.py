@@ -421,13 +421,14 @@ def rows_of_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", sim
             sets = [np.unique(shingle_hashes(t, COPY_SHINGLE)) for t in texts]
             wide = np.array([wide_of(x) for x in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
             digest = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            sets = [np.unique(x.astype(np.uint32)) for x in sets]
             sizes = np.array([len(x) for x in sets], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.uint32)]).view(np.int32)))
             columns = [batch.column(0), batch.column(2), pa.array(narrow), pa.array(digest), pa.array(sizes), *(pa.array(wide[:, k]) for k in range(WORDS)), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "digest", "n", *WIDE, "shingles"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t"), F.xxhash64(text_of(text)).alias("text_hash"))
-    kinds = "doc_id long, text_hash long, fp long, digest long, n long, w0 long, w1 long, w2 long, w3 long, shingles array<long>"
+    kinds = "doc_id long, text_hash long, fp long, digest long, n long, w0 long, w1 long, w2 long, w3 long, shingles array<int>"
     prints = written(map_batches(rows, run, kinds).withColumn("row", F.monotonically_increasing_id()), "prints")
     of_text = [F.min(c).alias(c) for c in ("n", *WIDE)]
     codes = written(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("uid"), F.count("*").alias("rows"), *of_text), "codes")
