@@ -88,6 +88,11 @@ def matrix(spark: SparkSession, d: str, stranded: bool = True) -> SiteMatrix:
     return assemble(counts(spark, d, stranded), sites, barcodes(spark), stranded)
 
 
+def stored(spark: SparkSession, d: str) -> SiteMatrix:
+    """The stranded matrix, written once: for queries that read it more than once."""
+    return matrix(spark, d).written()
+
+
 def with_names(m: SiteMatrix, *columns: str) -> DataFrame:
     """Entries with the site's name in place of its number."""
     return m.entries.join(m.var.select("site_id", "site"), "site_id").select("site", "cell_id", *columns)
@@ -103,7 +108,11 @@ def triplets(spark: SparkSession, d: str) -> DataFrame:
 
 # --- the same in SQL: named pieces
 
-USABLE = "usable AS (SELECT * FROM bases WHERE mapq >= 255 AND NOT is_del AND NOT is_refskip AND baseq >= 30 AND base IN ('A', 'C', 'G', 'T'))"
+def usable_sql(mapq: int = 255, baseq: int = 30) -> str:
+    return f"usable AS (SELECT * FROM bases WHERE mapq >= {mapq} AND NOT is_del AND NOT is_refskip AND baseq >= {baseq} AND base IN ('A', 'C', 'G', 'T'))"
+
+
+USABLE = usable_sql()
 CODE = "CASE base WHEN 'A' THEN 0 WHEN 'T' THEN 1 WHEN 'G' THEN 2 ELSE 3 END"
 N = lambda test: f"cast(count(CASE WHEN {test} THEN 1 END) AS bigint)"
 
@@ -128,13 +137,20 @@ def matrix_sql(*parts: str, select: str, stranded: bool = True) -> str:
     return sql(USABLE, calls(stranded), counted(stranded), *parts, select=select)
 
 
-KIND = "CASE WHEN mapq < 255 THEN 'fail' WHEN is_refskip THEN 'refskip' WHEN is_del THEN 'del' WHEN baseq < 30 THEN 'N' ELSE base END"
-PILE = f"""kinds AS (SELECT contig, pos, {KIND} AS kind FROM bases),
+def pile_sql(mapq: int = 255, baseq: int = 30) -> str:
+    kind = f"CASE WHEN mapq < {mapq} THEN 'fail' WHEN is_refskip THEN 'refskip' WHEN is_del THEN 'del' WHEN baseq < {baseq} THEN 'N' ELSE base END"
+    return f"""kinds AS (SELECT contig, pos, {kind} AS kind FROM bases),
     pile AS (SELECT contig, pos, {N("kind NOT IN ('fail', 'refskip')")} AS DEPTH, {', '.join(f'{N(f"kind = '{b}'")} AS {b}' for b in 'ACGTN')}, cast(0 AS bigint) AS INS,
                     {N("kind = 'del'")} AS DEL, {N("kind = 'refskip'")} AS REF_SKIP, {N("kind = 'fail'")} AS FAIL FROM kinds GROUP BY contig, pos)"""
+
+
+def edited_sql(depth: int = 10, n_fraction: int = 20, threshold: int = 1000) -> str:
+    return f"DEPTH >= {depth} AND N <= greatest(DEPTH // {n_fraction}, 2) AND (" + " + ".join(f"CASE WHEN {b} > greatest(DEPTH // {threshold}, 2) THEN 1 ELSE 0 END" for b in "ATGC") + ") >= 2"
+
+
+PILE, EDITED = pile_sql(), edited_sql()
 STANDARD = f"lower(contig) IN ({', '.join(repr(c.lower()) for c in STANDARD_CONTIGS)})"
 NEAR_RAW = "(DEPTH + REF_SKIP + FAIL) * 101 >= {cap} * 100"
-EDITED = "DEPTH >= 10 AND N <= greatest(DEPTH // 20, 2) AND (" + " + ".join(f"CASE WHEN {b} > greatest(DEPTH // 1000, 2) THEN 1 ELSE 0 END" for b in "ATGC") + ") >= 2"
 ALL8 = " + ".join(BASE_LAYERS)
 COVERED = f"cov AS (SELECT site, contig, pos, sum({ALL8}) AS cov FROM counts GROUP BY site, contig, pos), kept AS (SELECT * FROM cov WHERE site LIKE 'chr%' AND cov >= 5)"
 LEVELS = "levels AS (SELECT site, contig, pos, " + ", ".join(f"cast(sum({b}1) AS bigint) AS {b}" for b in BASES) + ", cast(sum(A1 + T1 + G1 + C1) AS bigint) AS Coverage FROM counts SEMI JOIN kept USING (site) GROUP BY site, contig, pos)"
@@ -164,7 +180,8 @@ def split_sql(editing: EditingType) -> str:
 CALL = (COVERED, LEVELS, REFERENCE, NAMED, CLASSED)
 CELLS = "cells AS (SELECT DISTINCT cell_id FROM counts), sums AS (SELECT cell_id, cast(coalesce(sum(ref), 0) AS bigint) AS ref, cast(coalesce(sum(alt), 0) AS bigint) AS alt, cast(coalesce(sum(others), 0) AS bigint) AS others FROM cells LEFT JOIN split USING (cell_id) GROUP BY cell_id)"
 INTERVALS = "iv AS (SELECT concat('c', cast(o_custkey % 25 AS string)) AS contig, o_orderkey % 7919 AS start, o_orderkey % 7919 + cast(floor(o_totalprice) AS bigint) % 20 + 1 AS stop FROM orders)"
-MERGED = """ordered AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {src}),
+# Equal rows would get other places in each of the two windows, so each row is taken once.
+MERGED = """ordered AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT contig, start, stop FROM {src}) different),
     marked AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM ordered),
     merged AS (SELECT contig, min(start) AS start, max(stop) AS stop FROM marked GROUP BY contig, island)"""
 TRIPLETS = "trip AS (SELECT l_suppkey AS row, l_partkey AS col, cast(sum(l_linenumber) AS bigint) AS value FROM lineitem GROUP BY l_suppkey, l_partkey)"
@@ -300,7 +317,7 @@ def _(spark, d):
 
 @query("coverage_filter", matrix_sql(COVERED, select="SELECT site FROM kept"))
 def _(spark, d):
-    return S.filter_by_coverage(matrix(spark, d), must_keep=False).var.select("site")
+    return S.filter_by_coverage(stored(spark, d), must_keep=False).var.select("site")
 
 
 @query("layer_row_sums", matrix_sql(select="SELECT cell_id, cast(sum(G1) AS bigint) AS total FROM counts GROUP BY cell_id"))
@@ -316,17 +333,17 @@ def _(spark, d):
 
 @query("base_levels_forward", matrix_sql(COVERED, LEVELS, select="SELECT site, A, T, G, C, Coverage FROM levels"))
 def _(spark, d):
-    return S.base_levels(S.filter_by_coverage(matrix(spark, d), must_keep=False)).var.select("site", *BASES, "Coverage")
+    return S.base_levels(S.filter_by_coverage(stored(spark, d), must_keep=False)).var.select("site", *BASES, "Coverage")
 
 
 @query("base_levels_both", matrix_sql(COVERED, select="SELECT site, " + ", ".join(f"cast(sum({b}1 + {b}0) AS bigint) AS {b}" for b in BASES) + f", cast(sum({ALL8}) AS bigint) AS Coverage FROM counts SEMI JOIN kept USING (site) GROUP BY site"))
 def _(spark, d):
-    return S.base_levels(S.filter_by_coverage(matrix(spark, d), must_keep=False), "both").var.select("site", *BASES, "Coverage")
+    return S.base_levels(S.filter_by_coverage(stored(spark, d), must_keep=False), "both").var.select("site", *BASES, "Coverage")
 
 
 @query("strand_levels", matrix_sql(COVERED, select="SELECT site, " + ", ".join(f"cast(sum({b}{s}) AS bigint) AS {b}_{n}" for b in BASES for s, n in (("1", "P"), ("0", "N"))) + ", cast(sum(A1 + T1 + G1 + C1) AS bigint) AS CoverageP, cast(sum(A0 + T0 + G0 + C0) AS bigint) AS CoverageN FROM counts SEMI JOIN kept USING (site) GROUP BY site"))
 def _(spark, d):
-    var = S.strand_levels(S.filter_by_coverage(matrix(spark, d), must_keep=False)).var
+    var = S.strand_levels(S.filter_by_coverage(stored(spark, d), must_keep=False)).var
     return var.select("site", *(f"{b}_{s}" for b in BASES for s in "PN"), "CoverageP", "CoverageN")
 
 
@@ -351,7 +368,7 @@ def _(spark, d):
 
 
 def noted(spark: SparkSession, d: str) -> SiteMatrix:
-    m = S.add_reference(S.base_levels(S.filter_by_coverage(matrix(spark, d), must_keep=False)), reference(spark, d))
+    m = S.add_reference(S.base_levels(S.filter_by_coverage(stored(spark, d), must_keep=False).written("covered")), reference(spark, d))
     return replace(m, var=E.with_mismatch(m.var))
 
 
@@ -409,7 +426,7 @@ def _(spark, d):
 @query("call_pipeline", matrix_sql(*CALL, KNOWN, split_sql(_AG), "bysite AS (SELECT site, cast(sum(ref) AS bigint) AS ref_total, cast(sum(alt) AS bigint) AS alt_total, cast(sum(others) AS bigint) AS others_total FROM split GROUP BY site)",
        select="SELECT site, ref, A, T, G, C, Coverage, Mismatch, site IN (SELECT site FROM known) AS is_editing_site, A AS AG_ref, G AS AG_alt, T + C AS AG_others, coalesce(ref_total, 0) AS ref_total, coalesce(alt_total, 0) AS alt_total, coalesce(others_total, 0) AS others_total FROM typed LEFT JOIN bysite USING (site)"))
 def _(spark, d):
-    m = call_editing(matrix(spark, d), known_sites(spark, d), reference(spark, d), CallConfig(), check=False)
+    m = call_editing(stored(spark, d), known_sites(spark, d), reference(spark, d), CallConfig(), check=False)
     totals = m.entries.groupBy("site_id").agg(*(F.sum(x).alias(f"{x}_total") for x in E.SPLITS))
     columns = ["site", "ref", *BASES, "Coverage", "Mismatch", "is_editing_site", "AG_ref", "AG_alt", "AG_others"]
     return m.var.join(totals, "site_id", "left").select(*columns, *(F.coalesce(f"{x}_total", F.lit(0)).cast("bigint").alias(f"{x}_total") for x in E.SPLITS))
@@ -421,6 +438,13 @@ def _(spark, d):
     return with_names(m, *FORWARD_LAYERS)
 
 
+@query("two_pass_matrix_settings", sql(pile_sql(3, 25), f"chosen AS (SELECT contig, pos FROM pile WHERE {edited_sql(12, 15, 8)})", usable_sql(3, 25).replace("FROM bases", "FROM bases SEMI JOIN chosen USING (contig, pos)"), calls(True), counted(True), select=f"SELECT site, cell_id, {', '.join(BASE_LAYERS)} FROM counts"))
+def _(spark, d):
+    settings = MatrixConfig(min_mapq=3, min_baseq=25, all_contigs=True, stranded=True, bulk=BulkConfig(min_depth=12, max_n_fraction=15, editing_threshold=8))
+    m, _skipped = two_pass_matrix(with_clean_tags(base_rows(spark, d)), barcodes(spark), settings)
+    return with_names(m, *BASE_LAYERS)
+
+
 @query("matrix_sites", sql(f"depth AS (SELECT contig, pos, {N('true')} AS n FROM bases WHERE {STANDARD} GROUP BY contig, pos)", select="SELECT concat(contig, ':', cast(pos AS string)) AS site, cast(row_number() OVER (ORDER BY contig, pos) - 1 AS bigint) AS site_id FROM depth WHERE n < 40"))
 def _(spark, d):
     bases = with_clean_tags(base_rows(spark, d))
@@ -447,10 +471,10 @@ def _(spark, d):
     return X.from_triplets(triplets(spark, d))
 
 
-@query("sparse_add", f"WITH {TRIPLETS}, twice AS (SELECT * FROM trip UNION ALL SELECT col AS row, row AS col, value FROM trip WHERE col <= 200) SELECT row, col, cast(sum(value) AS bigint) AS value FROM twice GROUP BY row, col")
+@query("sparse_add", f"WITH {TRIPLETS}, twice AS (SELECT * FROM trip UNION ALL SELECT col AS row, row AS col, value FROM trip) SELECT row, col, cast(sum(value) AS bigint) AS value FROM twice GROUP BY row, col")
 def _(spark, d):
     a = X.from_triplets(triplets(spark, d))
-    return X.add(a, X.transpose(a.where("col <= 200")))
+    return X.add(a, X.transpose(a))
 
 
 @query("sparse_mask", f"WITH {TRIPLETS} SELECT * FROM trip WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = row AND l_partkey = col AND l_quantity > 25)")
@@ -470,19 +494,26 @@ def _(spark, d):
     return X.transpose(X.from_triplets(triplets(spark, d)))
 
 
-@query("sparse_row_sums", f"WITH {TRIPLETS} SELECT s_suppkey AS row, cast(coalesce(sum(value), 0) AS bigint) AS total FROM supplier LEFT JOIN trip ON row = s_suppkey AND s_suppkey % 3 <> 0 GROUP BY s_suppkey")
+@query("sparse_row_sums", f"WITH {TRIPLETS} SELECT c_custkey AS row, cast(coalesce(sum(value), 0) AS bigint) AS total FROM customer LEFT JOIN trip ON row = c_custkey GROUP BY c_custkey")
 def _(spark, d):
-    return X.row_sums(X.from_triplets(triplets(spark, d)).where("row % 3 <> 0"), table(spark, d, "supplier").selectExpr("s_suppkey AS row"))
+    return X.row_sums(X.from_triplets(triplets(spark, d)), table(spark, d, "customer").selectExpr("c_custkey AS row"))  # more customers than suppliers: rows without entries
 
 
-@query("sparse_col_sums", f"WITH {TRIPLETS} SELECT p_partkey AS col, cast(coalesce(sum(value), 0) AS bigint) AS total FROM part LEFT JOIN trip ON col = p_partkey AND row % 3 <> 0 GROUP BY p_partkey")
+@query("sparse_col_sums", f"WITH {TRIPLETS} SELECT o_orderkey AS col, cast(coalesce(sum(value), 0) AS bigint) AS total FROM orders LEFT JOIN trip ON col = o_orderkey GROUP BY o_orderkey")
 def _(spark, d):
-    return X.col_sums(X.from_triplets(triplets(spark, d)).where("row % 3 <> 0"), table(spark, d, "part").selectExpr("p_partkey AS col"))
+    return X.col_sums(X.from_triplets(triplets(spark, d)), table(spark, d, "orders").selectExpr("o_orderkey AS col"))  # more orders than parts: columns without entries
+
+
+SHAPE = ", shape AS (SELECT (SELECT count(*) FROM supplier) * (SELECT count(*) FROM part) AS places)"
+
+
+def axes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "supplier").selectExpr("s_suppkey AS row"), table(spark, d, "part").selectExpr("p_partkey AS col")
 
 
-@query("sparse_density", f"WITH {TRIPLETS} SELECT count(*) / cast(1000 * 10000 AS double) AS density, {N('true')} AS nnz, cast(10000000 AS bigint) AS total FROM trip")
+@query("sparse_density", f"WITH {TRIPLETS}{SHAPE} SELECT count(*) / cast(max(places) AS double) AS density, {N('true')} AS nnz, max(places) AS total FROM trip, shape")
 def _(spark, d):
-    return X.density(X.from_triplets(triplets(spark, d)), 1000, 10000)
+    return X.density(X.from_triplets(triplets(spark, d)), *axes(spark, d))
 
 
 @query("sparse_threshold", f"WITH {TRIPLETS} SELECT * FROM trip WHERE value >= 5")
@@ -496,9 +527,9 @@ def _(spark, d):
     return X.filter_columns(X.from_triplets(triplets(spark, d)), keep)
 
 
-@query("sparsity_percentiles", f"WITH {TRIPLETS}, p AS (SELECT unnest([90.0, 95.0, 99.0, 99.9, 99.99, 99.999]::double[]) AS percentage), q AS (SELECT unnest(quantile_cont(cast(value AS double), [0.9, 0.95, 0.99, 0.999, 0.9999, 0.99999])) AS value, count(*) / 10000000.0::double AS stored FROM trip) SELECT percentage, value, stored FROM (SELECT percentage, row_number() OVER (ORDER BY percentage) AS k FROM p) JOIN (SELECT value, stored, row_number() OVER (ORDER BY value) AS k FROM q) USING (k)")
+@query("sparsity_percentiles", f"WITH {TRIPLETS}{SHAPE}, p AS (SELECT unnest([90.0, 95.0, 99.0, 99.9, 99.99, 99.999]::double[]) AS percentage), q AS (SELECT unnest(quantile_cont(cast(value AS double), [0.9, 0.95, 0.99, 0.999, 0.9999, 0.99999])) AS value, count(*) / cast((SELECT places FROM shape) AS double) AS stored FROM trip) SELECT percentage, value, stored FROM (SELECT percentage, row_number() OVER (ORDER BY percentage) AS k FROM p) JOIN (SELECT value, stored, row_number() OVER (ORDER BY value) AS k FROM q) USING (k)")
 def _(spark, d):
-    return X.sparsity_percentiles(X.from_triplets(triplets(spark, d)), 1000, 10000)
+    return X.sparsity_percentiles(X.from_triplets(triplets(spark, d)), *axes(spark, d))
 
 
 # --- intervals
@@ -566,7 +597,7 @@ def _(spark, d):
     return L.filter_by_gene(cells(spark, d), "BUILDING", "BUILDING", "MACHINERY", umi_threshold=500, kd_threshold=0.5).select("cell_id")
 
 
-@query("downsample_by_group")
+@query("downsample_by_group", "SELECT cell_id, gene FROM (SELECT c_custkey AS cell_id, c_mktsegment AS gene, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(concat(cast(c_custkey AS string), ':2025')), c_custkey) AS k FROM customer) x WHERE k <= 20")
 def _(spark, d):
     return L.downsample_by_group(cells(spark, d), n=20).select("cell_id", "gene")
 
@@ -610,7 +641,7 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("annotate_var", matrix_sql(COVERED, f"notes AS (SELECT concat({CONTIG.format(k='p_partkey')}, ':', cast(p_partkey + 1 AS string)) AS site, {REF.format(k='p_partkey')} AS ref, p_size FROM part)", select="SELECT site, true AS filter, ref, p_size > 25 AS Stranded, false AS Mismatch, cast(p_size AS bigint) AS Mismatch_P, cast(0 AS bigint) AS Mismatch_N FROM kept JOIN notes USING (site)"))
 def _(spark, d):
-    return L.annotate_var(matrix(spark, d), annotations(spark, d)).var.select("site", "filter", "ref", "Stranded", "Mismatch", "Mismatch_P", "Mismatch_N")
+    return L.annotate_var(stored(spark, d), annotations(spark, d)).var.select("site", "filter", "ref", "Stranded", "Mismatch", "Mismatch_P", "Mismatch_N")
 
 
 @query("script_ref_alt_sums", matrix_sql(*CALL, split_sql(EditingType.CT), CELLS, select="SELECT cell_id, ref, alt, others FROM sums"))

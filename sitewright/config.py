@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
 
@@ -57,15 +58,24 @@ class MatrixConfig:
     two_pass: bool = False
     chunk_weight: int = S.CHUNK_WEIGHT
     hot_chunk: int = S.HOT_CHUNK
-    bulk: BulkConfig = field(default_factory=BulkConfig)
+    umi_tag: str = "UB"
+    cb_tag: str = "CB"
+    bulk: BulkConfig = field(default_factory=BulkConfig)  # the thresholds of the first pass
 
     def validate(self) -> MatrixConfig:
         if self.missing_umi not in ("drop", "pool"):
             raise InvalidConfig("missing_umi is drop or pool")
         self.chunk_weight, self.hot_chunk = max(1, self.chunk_weight), max(1, self.hot_chunk)
+        for name in ("umi_tag", "cb_tag"):
+            if not re.fullmatch("[A-Za-z][A-Za-z0-9]", getattr(self, name)):
+                raise InvalidConfig(f"{name} is a letter and a letter or digit, not {getattr(self, name)!r}")
         self.bulk.validate()
         return self
 
+    def first_pass(self) -> BulkConfig:
+        """The settings of the first of two passes: thresholds of `bulk`, and the filters and contigs of the matrix."""
+        return replace(self.bulk, min_mapq=self.min_mapq, min_baseq=self.min_baseq, all_contigs=self.all_contigs, all_sites=False, zero_base=False)
+
 
 @dataclass
 class CallConfig:

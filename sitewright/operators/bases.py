@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewright.functions.arrays import let, running
 from sitewright.functions.tags import clean_tag, decode_base
 from sitewright.schema import MIN_BASEQ, MIN_MAPQ, SKIPPED_FLAGS, STANDARD_CONTIGS
 
-_REF = "array('M', '=', 'X', 'D', 'N')"
-_QUERY = "array('M', '=', 'X', 'I', 'S')"
+_REF = ("M", "=", "X", "D", "N")
+_QUERY = ("M", "=", "X", "I", "S")
+PIECE = 256
 
 
 def cigar_segments(cigar: str = "cigar", start: str = "start") -> Column:
-    """Array of (op, len, at, query, ins_after): where each operation begins on the reference and in the read."""
-    return F.expr(f"""
-        aggregate(
-            transform(regexp_extract_all({cigar}, '[0-9]+[MIDNSHP=X]', 0), x -> struct(right(x, 1) as op, cast(left(x, length(x) - 1) as bigint) as len)),
-            struct(cast({start} as bigint) as at, cast(0 as bigint) as query, cast(array() as array<struct<op:string,len:bigint,at:bigint,query:bigint,ins_after:boolean>>) as done),
-            (a, x) -> struct(
-                a.at + if(array_contains({_REF}, x.op), x.len, 0) as at,
-                a.query + if(array_contains({_QUERY}, x.op), x.len, 0) as query,
-                if(x.op = 'I' and size(a.done) > 0,
-                   concat(slice(a.done, 1, size(a.done) - 1), transform(slice(a.done, -1, 1), d -> struct(d.op as op, d.len as len, d.at as at, d.query as query, true as ins_after))),
-                   if(array_contains({_REF}, x.op), concat(a.done, array(struct(x.op as op, x.len as len, a.at as at, a.query as query, false as ins_after))), a.done)) as done),
-            a -> a.done)
-    """)
+    """Array of (op, len, at, query, ins_after): where each operation that covers the reference begins there and in the read."""
+    ops = F.transform(F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0)), lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.substring(x, F.lit(1), F.length(x) - 1).cast("bigint").alias("len")))
+    taken = lambda ops, letters: F.transform(ops, lambda x: F.when(x.op.isin(*letters), x.len).otherwise(F.lit(0).cast("bigint")))
+
+    def placed(ops: Column, ref: Column, query: Column) -> Column:
+        before = lambda ends, k: F.coalesce(F.when(k > 0, F.get(ends, k - 1)), F.lit(0))
+        each = F.transform(ops, lambda x, k: F.struct(x.op.alias("op"), x.len.alias("len"), (F.col(start) + before(ref, k)).cast("bigint").alias("at"), before(query, k).cast("bigint").alias("query")))
+        return F.filter(each, lambda x: x.op.isin(*_REF, "I"))
+
+    after = lambda kept, k: F.coalesce(F.get(kept, k + 1).op == "I", F.lit(False))
+    noted = lambda kept: F.transform(kept, lambda x, k: F.struct(x.op.alias("op"), x.len.alias("len"), x.at.alias("at"), x.query.alias("query"), after(kept, k).alias("ins_after")))
+    found = let(ops, lambda ops: let(running(taken(ops, _REF)), lambda ref: let(running(taken(ops, _QUERY)), lambda query: let(placed(ops, ref, query), noted))))
+    return F.filter(found, lambda x: x.op != "I")
 
 
 def explode_reads(reads: DataFrame, skipped_flags: int = SKIPPED_FLAGS) -> DataFrame:
@@ -34,19 +36,28 @@ def explode_reads(reads: DataFrame, skipped_flags: int = SKIPPED_FLAGS) -> DataF
     reads: contig, start (0-based), mapq, flag, cigar, seq, qual (phred + 33, may be null), cb, umi, and any other columns,
     which stay. Adds pos (0-based), base, baseq, is_del, is_refskip, ins_after, is_reverse. An insertion counts at the
     position before it. A read without a cigar covers nothing.
+
+    Letters and qualities are taken as bytes, in pieces of PIECE positions, so a row carries no more than its piece and the
+    work is linear in the length of a read.
     """
     kept = reads.where((F.col("flag").bitwiseAND(skipped_flags) == 0) & F.col("cigar").isNotNull())
     rest = [c for c in reads.columns if c not in ("cigar", "seq", "qual", "start", "flag")]
-    segments = kept.select(*rest, "seq", "qual", (F.col("flag").bitwiseAND(16) != 0).alias("is_reverse"), F.explode(cigar_segments()).alias("s"))
-    each = segments.where("s.len > 0").select(*rest, "seq", "qual", "is_reverse", "s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s.len") - 1)).alias("k"))
-    at = (F.col("s.query") + F.col("k") + 1).cast("int")
+    bytes_of = [F.col(c).cast("binary").alias(c) for c in ("seq", "qual")]
+    segments = kept.select(*rest, *bytes_of, (F.col("flag").bitwiseAND(16) != 0).alias("is_reverse"), F.explode(cigar_segments()).alias("s"))
+    pieces = segments.where("s.len > 0").select(*rest, "seq", "qual", "is_reverse", "s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s.len") - 1, F.lit(PIECE).cast("bigint"))).alias("first"))
+    place = (F.col("s.query") + F.col("first") + 1).cast("int")
+    part = lambda c: F.when(~F.col("s.op").isin("D", "N"), F.substring(c, place, F.lit(PIECE))).alias(c)
+    pieces = pieces.select(*rest, "is_reverse", "s", "first", part("seq"), part("qual"))
+    each = pieces.select(*rest, "seq", "qual", "is_reverse", "s", "first", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + PIECE, F.col("s.len")) - 1)).alias("k"))
+    at = (F.col("k") - F.col("first") + 1).cast("int")
     aligned = ~F.col("s.op").isin("D", "N")
+    letter = lambda c: F.substring(c, at, F.lit(1)).cast("string")
     return each.select(
         *rest,
         "is_reverse",
         (F.col("s.at") + F.col("k")).alias("pos"),
-        F.when(aligned, decode_base(F.substring("seq", at, F.lit(1)))).alias("base"),
-        F.when(aligned & F.col("qual").isNotNull(), F.ascii(F.substring("qual", at, F.lit(1))) - 33).alias("baseq"),
+        F.when(aligned, decode_base(letter("seq"))).alias("base"),
+        F.when(aligned & F.col("qual").isNotNull(), F.ascii(letter("qual")) - 33).alias("baseq"),
         (F.col("s.op") == "D").alias("is_del"),
         (F.col("s.op") == "N").alias("is_refskip"),
         (F.col("s.ins_after") & (F.col("k") == F.col("s.len") - 1)).alias("ins_after"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitewright.errors import DimensionMismatch, EmptyData
 from sitewright.functions.tags import as_u32, site_id
 from sitewright.schema import BASE_LAYERS, BASES, FORWARD_LAYERS, KNOWN_LAYERS, REVERSE_LAYERS
+from sitewright.stages import written
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,10 @@ class SiteMatrix:
         """A layer of entries; 0 where it isn't present."""
         return F.coalesce(F.col(layer), F.lit(0)).cast("bigint") if layer in self.layers else F.lit(0).cast("bigint")
 
+    def written(self, name: str = "matrix") -> SiteMatrix:
+        """The same matrix from tables in the shared folder: what made it runs once, whatever is asked of it after."""
+        return replace(self, obs=written(self.obs, f"{name}-obs"), var=written(self.var, f"{name}-var"), entries=written(self.entries, f"{name}-entries"))
+
     def layer(self, name: str) -> DataFrame | None:
         """(row, col, value) of one layer, or None."""
         if name not in self.layers:
@@ -135,7 +140,8 @@ def numbered(df: DataFrame, order: list[str], name: str, width: int = 1 << 16) -
     """Consecutive numbers from 0 in the order of the columns, the last of which is a whole number, as positions are.
 
     Rows are cut into bins of `width` by that column. A window numbers each bin; the bins' sizes are added up on a table
-    with one row for each bin. Nothing depends on a sample or on how tasks fall, so a retried task gives the same numbers.
+    with one row for each bin, which one task does: some 50,000 rows for the sites of a human genome. Nothing depends on a
+    sample or on how tasks fall, so a retried task gives the same numbers.
     """
     bins = [*(F.col(c).alias(f"__{k}") for k, c in enumerate(order[:-1])), F.floor(F.col(order[-1]) / width).alias("__bin")]
     binned = df.withColumn("__at", F.struct(*bins))

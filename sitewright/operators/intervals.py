@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +51,11 @@ def merge_overlaps(intervals: DataFrame, touching: bool = True, bin_size: int =
 
 
 def _islands(df: DataFrame, keys: list[str], gap: Column) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("start", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNotNull() & (F.col("start") <= reach + gap), 0).otherwise(1)
-    return df.withColumn("__new", new).withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    """Numbers islands by where they start. Intervals that start together are in one, so their order doesn't matter."""
+    order = Window.partitionBy(*keys).orderBy("start")
+    reach = F.max("stop").over(order.rangeBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (F.col("start") > reach + gap), F.col("start"))
+    return df.withColumn("__begins", begins).withColumn("island", F.max("__begins").over(order.rangeBetween(Window.unboundedPreceding, 0))).drop("__begins")
 
 
 def union_merge(a: DataFrame, b: DataFrame, merge: bool = True, touching: bool = True) -> DataFrame:
@@ -93,26 +97,30 @@ def chunk_plan(positions: DataFrame, weight: int = CHUNK_WEIGHT, hot: int = HOT_
     """The positions with a chunk number within their contig: (contig, pos, ..., chunk, weight).
 
     Positions are taken in order; a chunk ends when the kind (near the depth cap or not) changes, when its weight
-    (DEPTH + REF_SKIP + FAIL, 1 at least) reaches the limit, or at `hot` positions near the cap. The walk is one fold
-    for each contig over three numbers a site; Spark's own partitioning makes it unnecessary except for a report.
+    (DEPTH + REF_SKIP + FAIL, 1 at least) reaches the limit, or at `hot` positions near the cap. Each step depends on the
+    one before, so a contig is walked by one task; it holds a batch of rows and three numbers. Spark's own partitioning
+    makes the walk unnecessary except for a report.
     """
     step = F.when(F.col("NEAR_MAX_DEPTH"), F.lit(1)).otherwise(F.greatest(F.col("DEPTH") + F.col("REF_SKIP") + F.col("FAIL"), F.lit(1))).cast("bigint")
-    rows = positions.select("contig", "pos", "NEAR_MAX_DEPTH", step.alias("weight"))
-    return rows.groupBy("contig").applyInPandas(_walker(max(1, weight), max(1, hot)), "contig string, pos bigint, near boolean, chunk bigint, weight bigint")
+    rows = positions.select("contig", F.col("pos").cast("bigint").alias("pos"), F.col("NEAR_MAX_DEPTH").alias("near"), step.alias("weight"))
+    return rows.repartition("contig").sortWithinPartitions("contig", "pos").mapInArrow(_walker(max(1, weight), max(1, hot)), "contig string, pos bigint, near boolean, chunk bigint, weight bigint")
 
 
 def _walker(limit: int, hot: int):
-    def walk(pdf):
-        pdf = pdf.sort_values("pos", kind="stable")
-        chunk, total, before, out = 0, 0, None, []
-        for near, weight in zip(pdf["NEAR_MAX_DEPTH"], pdf["weight"]):
-            if before is not None and near != before and total:
-                chunk, total = chunk + 1, 0
-            out.append(chunk)
-            total += weight
-            if total >= (hot if near else limit):
-                chunk, total = chunk + 1, 0
-            before = near
-        return pdf.assign(chunk=out, near=pdf["NEAR_MAX_DEPTH"])[["contig", "pos", "near", "chunk", "weight"]]
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, chunk, total, before, begun = None, 0, 0, None, False
+        for batch in batches:
+            out = []
+            for contig, near, weight in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if contig != here or not begun:
+                    here, chunk, total, before, begun = contig, 0, 0, near, True
+                if near != before and total:
+                    chunk, total = chunk + 1, 0
+                out.append(chunk)
+                total += weight
+                if total >= (hot if near else limit):
+                    chunk, total = chunk + 1, 0
+                before = near
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64()), batch.column(3)], names=["contig", "pos", "near", "chunk", "weight"])
 
     return walk

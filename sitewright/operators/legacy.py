@@ -45,19 +45,20 @@ def strand_specificity(var: DataFrame) -> DataFrame:
 
 
 def downsample_by_group(obs: DataFrame, group: str = "gene", n: int = 50, seed: int = 2025, key: str = "cell_id") -> DataFrame:
-    """At most n rows of each group, chosen by a hash of key and seed, so the same on any cluster.
+    """At most n rows of each group: those with the least MD5 of `key:seed`, then key, so the same on any cluster.
 
-    The n least hashes of a group need no more than n rows at a time: each task keeps its own n first.
+    The n least hashes of a group need no more than n rows at a time: each of 64 parts keeps its own n first.
     """
     if group not in obs.columns:
         raise InvalidInput(f"no column {group!r}")
-    rows = obs.withColumn("__hash", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
+    rows = obs.withColumn("__hash", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
     local = Window.partitionBy(group, "__part").orderBy("__hash", key)
-    first = rows.withColumn("__part", F.pmod("__hash", F.lit(64))).withColumn("__k", F.row_number().over(local)).where(F.col("__k") <= n)
+    first = rows.withColumn("__part", F.pmod(F.xxhash64("__hash"), F.lit(64))).withColumn("__k", F.row_number().over(local)).where(F.col("__k") <= n)
     final = Window.partitionBy(group).orderBy("__hash", key)
     return first.withColumn("__k", F.row_number().over(final)).where(F.col("__k") <= n).drop("__hash", "__part", "__k")
 
 
+# Names and defaults of the parameters are fixed values: calls give them by name.
 def filter_by_gene(obs: DataFrame, score: str, gene: str, nt: str = "non-targeting", umi_threshold: int = 5000, gene_col: str = "gene", umi_col: str = "UMI_count", kd_threshold: float = -0.5, nt_threshold: float = 0.5) -> DataFrame:
     """Cells with enough molecules that are knocked down, or controls that aren't. score: the gene's own column."""
     down = (F.col(gene_col) == gene) & (F.col(score) < kd_threshold)

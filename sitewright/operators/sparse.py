@@ -73,17 +73,25 @@ def filter_columns(a: DataFrame, keep: DataFrame) -> DataFrame:
     return a.join(keep.select(F.col("old").alias("col"), "new"), "col").select("row", F.col("new").alias("col"), "value")
 
 
-def density(a: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
-    """One row: density (0 for an empty shape), nnz, total."""
-    total = n_rows * n_cols
-    nnz = a.agg(F.count("*").alias("nnz"))
-    return nnz.select((F.col("nnz") / float(total) if total else F.lit(0.0)).alias("density"), "nnz", F.lit(total).cast("bigint").alias("total"))
+def with_size(one: DataFrame, rows: DataFrame | int, cols: DataFrame | int) -> DataFrame:
+    """A table of one row with `total`, the number of places of a matrix; axes as tables of numbers, or sizes."""
+    for name, axis in (("__rows", rows), ("__cols", cols)):
+        one = one.withColumn(name, F.lit(axis)) if isinstance(axis, int) else one.crossJoin(axis.agg(F.count("*").alias(name)))  # one row each
+    return one.withColumn("total", F.col("__rows").cast("bigint") * F.col("__cols")).drop("__rows", "__cols")
 
 
-def sparsity_percentiles(a: DataFrame, n_rows: int, n_cols: int, percentages: tuple[float, ...] = (90, 95, 99, 99.9, 99.99, 99.999)) -> DataFrame:
+def density(a: DataFrame, rows: DataFrame | int, cols: DataFrame | int) -> DataFrame:
+    """One row: density (0 for an empty shape), nnz, total. rows, cols: the axes as tables of numbers, or their sizes."""
+    sized = with_size(a.agg(F.count("*").alias("nnz")), rows, cols)
+    return sized.select(F.when(F.col("total") > 0, F.col("nnz") / F.col("total")).otherwise(0.0).alias("density"), "nnz", "total")
+
+
+# The percentages are fixed values.
+def sparsity_percentiles(a: DataFrame, rows: DataFrame | int, cols: DataFrame | int, percentages: tuple[float, ...] = (90, 95, 99, 99.9, 99.99, 99.999)) -> DataFrame:
     """(percentage, value) of the stored values, with linear interpolation, and the share of places that are stored."""
     points = F.array(*(F.lit(p / 100) for p in percentages))
-    found = a.agg(F.percentile("value", points).alias("v"), (F.count_if(F.col("value") != 0) / float(n_rows * n_cols)).alias("stored"))
+    counted = a.agg(F.percentile("value", points).alias("v"), F.count_if(F.col("value") != 0).alias("nnz"))
+    found = with_size(counted, rows, cols).select("v", F.when(F.col("total") > 0, F.col("nnz") / F.col("total")).otherwise(0.0).alias("stored"))
     return found.select(F.explode(F.arrays_zip(F.array(*(F.lit(float(p)) for p in percentages)).alias("percentage"), F.col("v").alias("value"))).alias("x"), "stored").select(F.col("x")["percentage"].alias("percentage"), F.col("x")["value"].alias("value"), "stored")
 
 

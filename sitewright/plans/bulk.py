@@ -36,5 +36,5 @@ def run_bulk(reads: DataFrame, output: str | None = None, config: BulkConfig | N
     config = config or BulkConfig()
     table = as_table(bulk_sites(explode_reads(reads), config, regions=regions), config.zero_base)
     if output:
-        write_tsv(table, gz_path(output) if not is_gzipped(output) else output, gzip=True, order=["CHR", "POS"])
+        write_tsv(table, gz_path(output) if not is_gzipped(output) else output, gzipped=True, order=["CHR", "POS"])
     return table

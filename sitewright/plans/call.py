@@ -20,10 +20,11 @@ from sitewright.sources.tables import read_known_sites
 def annotate(matrix: SiteMatrix, known: DataFrame, reference: DataFrame, config: CallConfig, check: bool = True) -> SiteMatrix:
     """Known sites marked, coverage filtered, levels counted, reference bases and mismatch classes added.
 
-    check: run a job to see that sites are left, and raise if none is. Without it the plan stays lazy.
+    check: run a job to see that sites are left, and raise if none is. What the coverage filter keeps is written once, since
+    every later step reads it more than once.
     """
     marked = S.mark_known_sites(matrix, known)
-    covered = S.base_levels(S.filter_by_coverage(marked, config.min_coverage, must_keep=check))
+    covered = S.base_levels(S.filter_by_coverage(marked, config.min_coverage, must_keep=check).written("covered"))
     named = S.add_reference(covered, reference)
     return replace(named, var=E.with_mismatch(named.var, config.max_other_threshold, config.min_edited_threshold, config.min_ref_threshold))
 

@@ -12,6 +12,7 @@ from sitewright.operators.container import SiteMatrix, known_layers
 from sitewright.schema import CALL_LAYERS
 
 PARTS = ("obs", "var", "entries")
+MOST_ENTRIES = 200_000_000
 
 
 def write_matrix(matrix: SiteMatrix, path: str, layers: tuple[str, ...] | None = None) -> None:
@@ -44,12 +45,14 @@ def read_matrix(spark: SparkSession, path: str, check: bool = True) -> SiteMatri
 
 
 def write_h5ad(matrix: SiteMatrix, path: str) -> None:
-    """For matrices that fit one machine; needs the library anndata."""
+    """For matrices that fit one machine, of at most MOST_ENTRIES entries; needs the library anndata."""
     try:
         import anndata
         import scipy.sparse
     except ImportError:
         raise UnsupportedFormat("h5ad needs anndata and scipy; write Parquet instead") from None
+    if (n := matrix.entries.count()) > MOST_ENTRIES:
+        raise UnsupportedFormat(f"{n} entries are too many for one machine; write Parquet instead")
     obs, var = matrix.obs.orderBy("cell_id").toPandas(), matrix.var.orderBy("site_id").toPandas()
     rows, cols = ({v: k for k, v in enumerate(t[c])} for t, c in ((obs, "cell_id"), (var, "site_id")))
     entries = matrix.entries.toPandas()

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import gzip
+import re
+import struct
+import sys
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.config import path_exists
-from sitewright.errors import EmptyData, InvalidInput, MissingFile, UnsupportedFormat
+from sitewright.errors import EmptyData, InvalidInput, MissingFile, ParseFailure, UnsupportedFormat
 from sitewright.functions.tags import INTEGER
 from sitewright.operators.container import numbered
 from sitewright.schema import MANIFEST_REQUIRED
+from sitewright.sources.bam import Buffer, blocks_of
 
 GZIP_SUFFIXES = ("gz", "gzip", "bgzf")
 
@@ -28,9 +37,16 @@ def make_parent(spark: SparkSession, path: str) -> None:
         parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(parent)
 
 
-def read_tsv(spark: SparkSession, path: str, header: bool = True, comment: str | None = None) -> DataFrame:
-    """Tab-separated strings; gzip by the file's name, all members of block-gzipped files."""
-    if not path_exists(spark, path):
+def read_tsv(spark: SparkSession, path: str | None, header: bool = True, comment: str | None = None) -> DataFrame:
+    """Tab-separated strings; gzip by the file's name, all members of block-gzipped files. None or `-` is the standard input.
+
+    Standard input comes through the driver, so it must fit there.
+    """
+    if path in (None, "-"):
+        data = sys.stdin.buffer.read()
+        lines = (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode().splitlines()
+        path = spark.sparkContext.parallelize(lines, max(1, len(data) >> 24))
+    elif not path_exists(spark, path):
         raise MissingFile(path)
     reader = spark.read.option("sep", "\t").option("header", header).option("quote", "").option("inferSchema", False)
     return (reader.option("comment", comment) if comment else reader).csv(path)
@@ -109,10 +125,44 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.get(fields, F.lit(0)).alias("contig"), F.get(fields, F.lit(1)).try_cast("bigint").alias("start"), F.get(fields, F.lit(2)).try_cast("bigint").alias("stop")).where("start is not null and stop is not null")
 
 
+def bcf_sites(data: bytes) -> Iterator[tuple[str, int]]:
+    """(contig, position from 0) of each record of a BCF file of version 2."""
+    buffer = Buffer(blocks_of(data))
+    if buffer.take(3) != b"BCF" or buffer.take(2)[:1] != b"\2":
+        raise ParseFailure("no BCF file of version 2")
+    names: dict[int, str] = {}
+    for line in buffer.take(buffer.number()).rstrip(b"\0").decode().splitlines():
+        if line.startswith("##contig=<"):
+            fields = dict(re.findall(r"([A-Za-z]+)=(\"[^\"]*\"|[^,>]*)", line[len("##contig=<") :]))
+            names[int(fields.get("IDX", len(names)))] = fields["ID"]
+    while buffer.tell() is not None:
+        shared, single = buffer.number(), buffer.number()
+        contig, pos = struct.unpack_from("<ii", buffer.take(shared))
+        buffer.take(single)
+        if contig not in names:
+            raise ParseFailure(f"a record names contig {contig}, which the header lacks")
+        yield names[contig], pos
+
+
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, start, stop) of one position for each record of a text VCF; positions below 1 raise."""
+    """(contig, start, stop) of one position for each record of a VCF or, by the name's end, BCF file; positions below 1 raise.
+
+    A BCF file is read by one task.
+    """
     if not path_exists(spark, path):
         raise MissingFile(path)
+    if path.lower().endswith(".bcf"):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column(0):
+                    sites = bcf_sites(content.as_py())
+                    while some := list(islice(sites, 10_000)):
+                        if min(p for _, p in some) < 0:
+                            raise ParseFailure("a record without a position from 1")
+                        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some]), pa.array([p for _, p in some], pa.int64()), pa.array([p + 1 for _, p in some], pa.int64())], names=["contig", "start", "stop"])
+
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "contig string, start bigint, stop bigint")
     fields = F.split("value", r"\t")
     rows = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.col("value") != ""))
     pos = F.get(fields, F.lit(1)).try_cast("bigint")
@@ -156,10 +206,16 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 # --- writers
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = True, gzip: bool = False, order: list[str] | None = None) -> None:
-    """A folder of tab-separated parts; with an order, the parts follow each other in it."""
+def write_tsv(df: DataFrame, path: str, header: bool = True, gzipped: bool = False, order: list[str] | None = None) -> None:
+    """A folder of tab-separated parts; with an order, the parts follow each other in it. `-` is the standard output, written row by row."""
     out = df.orderBy(*order) if order else df
-    out.write.mode("overwrite").option("sep", "\t").option("header", header).option("quote", "\u0000").option("compression", "gzip" if gzip else "none").csv(path)
+    if path == "-":
+        if header:
+            print(*out.columns, sep="\t")
+        for row in out.toLocalIterator():
+            print(*("" if v is None else str(v).lower() if isinstance(v, bool) else v for v in row), sep="\t")
+        return
+    out.write.mode("overwrite").option("sep", "\t").option("header", header).option("quote", "\u0000").option("compression", "gzip" if gzipped else "none").csv(path)
 
 
 def skipped_path(output: str) -> str:

@@ -25,21 +25,51 @@ def record(contigs, contig, start, mapq, flag, cigar, seq, qual, tags):
     return struct.pack("<i", len(body)) + body
 
 
+def bin_of(start, stop):
+    """The smallest bin of the index that holds a range."""
+    for first, shift in ((4681, 14), (585, 17), (73, 20), (9, 23), (1, 26)):
+        if start >> shift == (stop - 1) >> shift:
+            return first + (start >> shift)
+    return 0
+
+
+def index_of(contigs, reads, places):
+    """BAI of records (in order) between virtual offsets."""
+    out = b"BAI\1" + struct.pack("<i", len(contigs))
+    for name, length in contigs:
+        bins, windows = {}, [0] * ((length >> 14) + 1)
+        for read, begin, end in zip(reads, places, places[1:]):
+            if read[0] != name:
+                continue
+            start = read[1]
+            stop = start + max(1, sum(int(n) for n, op in read[4] if op in "MDN=X"))
+            bins.setdefault(bin_of(start, stop), []).append((begin, end))
+            for w in range(start >> 14, ((stop - 1) >> 14) + 1):
+                windows[w] = windows[w] or begin
+        out += struct.pack("<i", len(bins) + 1) + b"".join(struct.pack("<Ii", b, len(c)) + b"".join(struct.pack("<QQ", *x) for x in c) for b, c in bins.items())
+        out += struct.pack("<IiQQQQ", 37450, 2, 0, 0, 0, 0)
+        out += struct.pack("<i", len(windows)) + struct.pack(f"<{len(windows)}Q", *windows)
+    return out
+
+
 def write_bam(path, contigs, reads, block_size=64, index=False):
-    """Blocks of `block_size` bytes, so that records cross them. The index lists where records begin."""
+    """Blocks of `block_size` bytes, so that records cross them."""
     head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(contigs)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs)
     parts = [record(contigs, *r) for r in reads]
     data = head + b"".join(parts)
-    out, places = b"", {}
+    out, places = [], {}
+    size = 0
     for at in range(0, len(data), block_size):
-        places[at] = len(out)
-        out += block(data[at : at + block_size])
+        places[at] = size
+        out.append(block(data[at : at + block_size]))
+        size += len(out[-1])
     with open(path, "wb") as file:
-        file.write(out + block(b""))
+        file.write(b"".join(out) + block(b""))
     if index:
-        starts, at = [], len(head)
-        for p in parts:
-            starts.append(places[at // block_size * block_size] << 16 | at % block_size)
+        offsets, at = [], len(head)
+        for p in [*parts, b""]:
+            whole = at // block_size * block_size
+            offsets.append(places.get(whole, size) << 16 | at % block_size)
             at += len(p)
         with open(f"{path}.bai", "wb") as file:
-            file.write(b"BAI\1" + struct.pack("<i", 1) + struct.pack("<i", 1) + struct.pack("<Ii", 4681, len(starts)) + b"".join(struct.pack("<QQ", s, s) for s in starts) + struct.pack("<i", 1) + struct.pack("<Q", starts[0]))
+            file.write(index_of(contigs, reads, offsets))

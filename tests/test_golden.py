@@ -1,6 +1,8 @@
 """Cases with known results."""
 
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,8 +113,6 @@ def test_cigars(spark):
 
 
 def test_cigars_by_brute_force(spark):
-    import random
-
     rng = random.Random(2)
     rows, expected = [], {}
     for k in range(60):
@@ -144,6 +144,20 @@ def base_rows(spark, rows):
     return spark.createDataFrame([("chr1", p, c, u, b, r, 255, 40, False, False) for p, c, u, b, r in rows], "contig string, pos long, cb string, umi string, base string, is_reverse boolean, mapq int, baseq int, is_del boolean, is_refskip boolean")
 
 
+def test_long_reads_cost_as_long_as_they_are(spark):
+    """One read of 100,000 bases in few or very many operations."""
+    rng = random.Random(9)
+    n = 100_000
+    seq = "".join(rng.choice("ACGT") for _ in range(n))
+    for cigar in (f"{n}M", "4M1I" * (n // 5)):
+        frame = spark.createDataFrame([("c", 5, 255, 0, cigar, seq, "I" * n, "x", "u")], "contig string, start long, mapq int, flag int, cigar string, seq string, qual string, cb string, umi string")
+        began = time.time()
+        found = explode_reads(frame).agg(F.count("*"), F.max("pos"), F.count_if(F.col("base") == "A"), F.count_if("ins_after")).first()
+        places = [k for k in range(n) if cigar.startswith(str(n)) or k % 5 < 4]
+        assert tuple(found) == (len(places), 4 + len(places), sum(seq[k] == "A" for k in places), 0 if len(places) == n else n // 5)
+        assert time.time() - began < 20
+
+
 def test_molecules(spark):
     rows = [(1, "X", "u1", "A", False), (1, "X", "u1", "A", False), (1, "X", "u2", "A", False), (1, "X", "u2", "G", False), (1, "X", "u2", "A", False), (1, "X", "u3", "A", False), (1, "X", "u3", "A", True), (1, "Z", "u1", "A", False), (1, "X", None, "C", False), (1, "X", "u4", "N", False)]
     cells = spark.createDataFrame([("X", 0)], "barcode string, cell_id long")

@@ -1,7 +1,11 @@
 """Files in and out, and the commands from files to files."""
 
 import gzip
+import io
 import json
+import os
+import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +14,7 @@ from sitewright import cli
 from sitewright.config import CallConfig, validate_output
 from sitewright.errors import EmptyData, InvalidConfig, InvalidInput, MissingFile, ParseFailure, UnsupportedFormat
 from sitewright.sources import bam, fasta, matrices, tables
-from tests.bam_writer import write_bam
+from tests.bam_writer import block, write_bam
 from tests.helpers import tuples
 
 
@@ -62,6 +66,13 @@ def test_intervals(spark, tmp_path):
     assert tuples(tables.read_vcf(spark, vcf)) == [("chr1", 4, 5), ("chr2", 0, 1)]
     with pytest.raises(Exception, match="position from 1"):
         tables.read_vcf(spark, file(tmp_path, "b.vcf", "chr1\t0\t.\n")).collect()
+    header = b'##fileformat=VCFv4.2\n##contig=<ID=chr1,length=9>\n##contig=<ID=chrB,IDX=5>\n#CHROM\n\0'
+    records = b"".join(struct.pack("<IIii", 12, 3, c, p) + b"rest" + b"xyz" for c, p in ((0, 4), (5, 0), (5, 8)))
+    (tmp_path / "a.bcf").write_bytes(block(b"BCF\2\2" + struct.pack("<I", len(header)) + header + records[:20]) + block(records[20:]) + block(b""))
+    assert tuples(tables.read_vcf(spark, f"{tmp_path}/a.bcf")) == [("chr1", 4, 5), ("chrB", 0, 1), ("chrB", 8, 9)]
+    (tmp_path / "b.bcf").write_bytes(block(b"BAM\1"))
+    with pytest.raises(Exception, match="no BCF file"):
+        tables.read_vcf(spark, f"{tmp_path}/b.bcf").collect()
     assert tuples(tables.read_site_list(spark, file(tmp_path, "s.tsv", "REF\tPOS\nchr1\t3\n"))) == tuples(tables.read_site_list(spark, file(tmp_path, "s.csv", "REF,POS\nchr1,3\n"))) == [("chr1", 3)]
 
 
@@ -78,9 +89,18 @@ def test_annotations(spark, tmp_path):
             tables.read_annotations(spark, file(tmp_path, name, "q,r\n1,2\n"))
 
 
+def test_standard_streams(spark, monkeypatch, capsys):
+    for data in (b"CHR\tPOS\nchr1\t5\nchr2\t7\n", gzip.compress(b"CHR\tPOS\nchr1\t5\n") + gzip.compress(b"chr2\t7\n")):
+        monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(data)))
+        frame = tables.read_tsv(spark, "-")
+        assert tuples(frame) == [("chr1", "5"), ("chr2", "7")]
+    tables.write_tsv(frame.withColumn("ok", F.lit(True)), "-", order=["POS"])
+    assert capsys.readouterr().out.endswith("CHR\tPOS\tok\nchr1\t5\ttrue\nchr2\t7\ttrue\n")
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("b", 2, 'x"y'), ("a", 1, None)], "CHR string, POS long, v string")
-    tables.write_tsv(df, f"{tmp_path}/o", gzip=True, order=["CHR"])
+    tables.write_tsv(df, f"{tmp_path}/o", gzipped=True, order=["CHR"])
     assert tuples(tables.read_tsv(spark, f"{tmp_path}/o")) == [("a", "1", None), ("b", "2", 'x"y')]
     assert tables.gz_path("a.tsv") == "a.tsv.gz" and tables.gz_path("a.bgzf") == "a.bgzf" and not tables.is_gzipped("gz") and tables.is_gzipped("x.GZ")
     path = tables.write_skipped(spark.createDataFrame([("c", 5, 9)], "contig string, pos long, DEPTH long"), f"{tmp_path}/out.matrix")
@@ -99,6 +119,16 @@ def test_fasta(spark, tmp_path):
     sites = ["chr1:1", "chr1:4", "chr2:2", "chr2:7", "chr2:9", "chr1:0", "chr1:13", "chr9:1", "chr1", "a:b:c", "chr1:-1", "chr1:x"]
     got = {r.site: r.base for r in fasta.bases_of_sites(spark.createDataFrame([(s,) for s in sites], "site string"), blocks, 5).collect()}
     assert got == dict(zip(sites, "AGCTNNNNNNNN"))
+    rng = random.Random(2)
+    genome = {f"c{k}": "".join(rng.choice("ACGTn") for _ in range(rng.choice((0, 1, 59, 60, 61, 500, 3000)))) for k in range(40)}
+    text = "".join(f">{name} x\n" + "".join(seq[a : a + 60] + rng.choice(("\n", "\r\n")) for a in range(0, len(seq), 60)) + "\n" * (int(name[1:]) % 3) for name, seq in genome.items())
+    path = file(tmp_path, "g.fa", text)
+    for size in ("777", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        for block in (7, 100, 4096):
+            found = {(r.contig, r.block): r.seq for r in fasta.read_fasta(spark, path, block).collect()}
+            assert found == {(name, a // block): seq[a : a + block].upper() for name, seq in genome.items() for a in range(0, len(seq), block)}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     fai = file(tmp_path, "r.fa.fai", "chr1\t12\t6\t12\t13\nchr2\t12\t25\t12\t13\n")
     assert tuples(fasta.contig_names(spark, fai)) == [(0, "chr1", 12), (1, "chr2", 12)]
     with pytest.raises(EmptyData):
@@ -135,6 +165,41 @@ def test_bam(spark, tmp_path, size):
         bam.read_bam(spark, "x.cram")
 
 
+def test_regions_of_an_indexed_bam(spark, tmp_path):
+    """Only the ranges of the file that regions need are read, and just the records that overlap them come."""
+    rng = random.Random(6)
+    contigs = [("chr1", 3_000_000), ("chr2", 500_000), ("GL1", 100_000)]
+    reads = []
+    for name, length in contigs:
+        for start in sorted(rng.randrange(length - 3000) for _ in range(600)):
+            cigar = rng.choice([[(20, "M")], [(5, "S"), (10, "M"), (2000, "N"), (5, "M")], [(8, "M"), (3, "D"), (12, "M")]])
+            size = sum(n for n, op in cigar if op in "MS")
+            reads.append((name, start, 255, 0, cigar, "".join(rng.choice("ACGT") for _ in range(size)), "I" * size, [("XC", "Z", f"C{start % 7}-1"), ("XU", "Z", "U")]))
+    path = f"{tmp_path}/x.bam"
+    write_bam(path, contigs, reads, 1000, index=True)
+    stop = lambda r: r[1] + sum(n for n, op in r[4] if op in "MDN")
+    size = os.path.getsize(path)
+    spans = lambda **options: sum((p.end >> 16) - (p.begin >> 16) + 1000 for p in bam.BamReader({"path": path, **options}).partitions())
+    for regions in ([("chr1", 100_000, 120_000)], [("chr1", 0, 1), ("chr1", 2_999_000, 3_000_000), ("chr2", 70_000, 70_100), ("chr2", 70_050, 90_000)], [("GL1", 0, 100_000)], [("chrX", 5, 6)]):
+        expected = sorted((r[0], r[1]) for r in reads if any(r[0] == c and r[1] < b and stop(r) > a for c, a, b in regions))
+        for every in (500, 1 << 20):
+            spark.dataSource.register(bam.BamSource)
+            found = spark.read.format("bam").option("regions", json.dumps(regions)).option("splitBytes", every).load(path)
+            assert tuples(found, "contig", "start") == expected
+        assert spans(regions=json.dumps(regions)) < size / 2
+        assert tuples(bam.open_bam(spark, path, regions=regions), "contig", "start") == expected
+    assert tuples(bam.open_bam(spark, path, contigs=["GL1"]), "contig", "start") == sorted((r[0], r[1]) for r in reads if r[0] == "GL1") and spans(contigs="GL1") < size / 2
+    first = bam.open_bam(spark, path, "XC", "XU", ["chr1"], [("chr1", 0, 3_000_000)]).first()
+    assert first.cb.endswith("-1") and first.umi == "U" and bam.open_bam(spark, path).count() == len(reads) == bam.read_bam(spark, path).count()
+    assert bam.read_bam(spark, path, "XC", "XU").first().umi == "U" and bam.read_bam(spark, path).first().umi is None
+
+
+def test_long_header(spark, tmp_path):
+    contigs = [(f"contig{k}", k + 1) for k in range(30_000)]
+    write_bam(f"{tmp_path}/x.bam", contigs, [], 60_000)
+    assert bam.bam_header(spark, f"{tmp_path}/x.bam", 1000).count() == 30_000
+
+
 def test_damaged_bam(tmp_path):
     path = f"{tmp_path}/x.bam"
     write_bam(path, CONTIGS, READS, 60000)
@@ -171,6 +236,16 @@ def test_commands_from_files_to_files(spark, tmp_path):
         assert cli.main(["bam2mtx", "--bam", f"{tmp_path}/x.bam", "--barcodes", barcodes, "-o", f"{tmp_path}/{name}", "-t", "4", *extra]) == 0
     one, two = (matrices.read_matrix(spark, f"{tmp_path}/{n}") for n in ("one", "two"))
     assert tuples(one.entries, "cell_id", "A1", "G1") == tuples(two.entries, "cell_id", "A1", "G1") == [(0, 8, 4), (1, 8, 4)] and tuples(one.obs, "barcode") == [("AAA",), ("CCC",)]
+    assert tuples(tables.read_manifest(spark, f"{tmp_path}/1pass.tsv.gz"), "contig", "pos", "DEPTH") == [("chr1", 12, 24)]  # the first pass leaves its sites
+    other = [("GL1", *r[1:2], 10, *r[3:7], [("XC", "Z", r[7][0][2]), ("XU", "Z", r[7][1][2])]) for r in reads_for_commands()]
+    write_bam(f"{tmp_path}/y.bam", [("GL1", 1000)], other, 500, index=True)
+    base = ["bam2mtx", "--bam", f"{tmp_path}/y.bam", "--barcodes", barcodes, "-t", "4", "--two-pass", "-A", "--umi-tag", "XU", "--cb-tag", "XC", "--chunk-size-max-depth", "3", "--matrix-density", "0.1"]
+    assert cli.main([*base, "-o", f"{tmp_path}/three", "-q", "10", "--tsv", f"{tmp_path}/pass.tsv.gz", "-d", "24"]) == 0
+    three = matrices.read_matrix(spark, f"{tmp_path}/three")
+    assert tuples(three.entries, "cell_id", "A1", "G1") == tuples(one.entries, "cell_id", "A1", "G1") and tuples(three.var, "site") == [("GL1:12",)]
+    assert tuples(tables.read_manifest(spark, f"{tmp_path}/pass.tsv.gz"), "contig", "pos") == [("GL1", 12)]
+    assert cli.main([*base, "-o", f"{tmp_path}/four", "-q", "10", "-d", "25"]) == 0 and spark.read.parquet(f"{tmp_path}/four/var").count() == 0  # too little depth for one more
+    assert cli.main([*base, "-o", f"{tmp_path}/five", "-q", "10", "-et", "2"]) == 0 and spark.read.parquet(f"{tmp_path}/five/var").count() == 0  # G is no more than half
     fa = file(tmp_path, "r.fa", ">chr1\n" + "N" * 11 + "A" + "N" * 20 + "\n")
     file(tmp_path, "r.fa.fai", "chr1\t32\t6\t32\t33\n")
     known = file(tmp_path, "k.tsv", "c\tp\nchr1\t12\n")
