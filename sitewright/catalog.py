@@ -83,14 +83,14 @@ def counts(spark: SparkSession, d: str, stranded: bool) -> DataFrame:
     return U.cell_site_counts(U.umi_consensus(usable(spark, d), stranded), stranded)
 
 
-def matrix(spark: SparkSession, d: str, stranded: bool = True) -> SiteMatrix:
+def matrix(spark: SparkSession, d: str, stranded: bool = True, stored: bool = False) -> SiteMatrix:
     sites = base_rows(spark, d).select("contig", "pos").distinct()
-    return assemble(counts(spark, d, stranded), sites, barcodes(spark), stranded)
+    return assemble(counts(spark, d, stranded), sites, barcodes(spark), stranded, stored)
 
 
 def stored(spark: SparkSession, d: str) -> SiteMatrix:
     """The stranded matrix, written once: for queries that read it more than once."""
-    return matrix(spark, d).written()
+    return matrix(spark, d, stored=True)
 
 
 def with_names(m: SiteMatrix, *columns: str) -> DataFrame:

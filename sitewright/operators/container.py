@@ -47,8 +47,8 @@ class SiteMatrix:
         return F.coalesce(F.col(layer), F.lit(0)).cast("bigint") if layer in self.layers else F.lit(0).cast("bigint")
 
     def written(self, name: str = "matrix") -> SiteMatrix:
-        """The same matrix from tables in the shared folder: what made it runs once, whatever is asked of it after."""
-        return replace(self, obs=written(self.obs, f"{name}-obs"), var=written(self.var, f"{name}-var"), entries=written(self.entries, f"{name}-entries"))
+        """The same matrix with sites and entries from tables in the shared folder."""
+        return replace(self, var=written(self.var, f"{name}-var"), entries=written(self.entries, f"{name}-entries"))
 
     def layer(self, name: str) -> DataFrame | None:
         """(row, col, value) of one layer, or None."""
@@ -122,16 +122,20 @@ def known_layers(columns: list[str]) -> tuple[str, ...]:
     return tuple(layer for layer in KNOWN_LAYERS if layer in columns)
 
 
-def assemble(counts: DataFrame, sites: DataFrame, barcodes: DataFrame, stranded: bool) -> SiteMatrix:
+def assemble(counts: DataFrame, sites: DataFrame, barcodes: DataFrame, stranded: bool, stored: bool = False) -> SiteMatrix:
     """The matrix of cell-site counts (contig, pos, cell_id, layers).
 
     sites (contig, pos[, tid]): every processed site becomes a column, counts or none; site_id follows header order
     (tid, then position; names where there is no tid). Only cells with a count become rows; cell_id is the whitelist's.
+
+    stored: sites and entries are written as soon as they are known, so that what made them runs once, whatever is asked of
+    the matrix after.
     """
+    keep = written if stored else lambda df, name: df
     layers = BASE_LAYERS if stranded else FORWARD_LAYERS
     order = ["tid", "pos"] if "tid" in sites.columns else ["contig", "pos"]
-    var = numbered(sites.dropDuplicates(["contig", "pos"]), order, "site_id").withColumn("site", site_id(F.col("contig"), F.col("pos")))
-    entries = counts.join(var.select("contig", "pos", "site_id"), ["contig", "pos"]).select("cell_id", "site_id", *layers)
+    var = keep(numbered(sites.dropDuplicates(["contig", "pos"]), order, "site_id").withColumn("site", site_id(F.col("contig"), F.col("pos"))), "sites")
+    entries = keep(counts.join(var.select("contig", "pos", "site_id"), ["contig", "pos"]).select("cell_id", "site_id", *layers), "entries")
     obs = barcodes.join(entries.select("cell_id").distinct(), "cell_id", "left_semi")
     return SiteMatrix(obs, var, entries, tuple(layers), FORWARD_LAYERS[0])
 

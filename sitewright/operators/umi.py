@@ -24,12 +24,13 @@ def join_cells(bases: DataFrame, barcodes: DataFrame, tag: str = "cb") -> DataFr
 def umi_calls(bases: DataFrame, stranded: bool, keep_n: bool = False) -> DataFrame:
     """(contig, pos, cell_id, umi, low, high): the least and greatest call; they differ where reads of a molecule disagree.
 
-    Minimum and maximum combine on the map side and don't depend on order. A hot site is spread over its molecules.
+    Minimum and maximum combine on the map side and don't depend on order. A hot site is spread over its molecules. Other
+    bases have no code, which minimum and maximum pass over; molecules without any go last, so that no filter repeats the code.
     """
     code = base_code(F.col("base"), F.col("is_reverse"), stranded)
     if keep_n:
         code = F.coalesce(code, F.lit(100) + (F.col("is_reverse").cast("int") if stranded else F.lit(0)))
-    return bases.select(*SITE, "cell_id", "umi", code.alias("code")).where("code is not null").groupBy(*SITE, "cell_id", "umi").agg(F.min("code").alias("low"), F.max("code").alias("high"))
+    return bases.select(*SITE, "cell_id", "umi", code.alias("code")).groupBy(*SITE, "cell_id", "umi").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low is not null")
 
 
 def umi_consensus(bases: DataFrame, stranded: bool, keep_n: bool = False) -> DataFrame:
