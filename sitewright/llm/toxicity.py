@@ -6,8 +6,8 @@ lexicon's entries, whole words or word beginnings, in one pass; hits inside exce
 of the hits, as a sum normalised by length, as a logarithm and as a maximum, enter a logistic curve.
 
 Lexicon and curve are learned from labelled rows, of which at most `bound` of each label (on average; the choice is by
-a hash of doc_id) are looked at: that many labels fix a lexicon of at most `entries` terms, so the model's size and the
-cost of training don't grow with the corpus. Seven in ten sampled rows give the lexicon, the others the curve, with
+a hash of doc_id) are looked at, so the model's size and the cost of training don't grow with the corpus. Every term that
+enough of these texts support and that tells enough enters the lexicon. Seven in ten sampled rows give the lexicon, the others the curve, with
 the weight of the rows they stand for.
 
 Nulls: a null text is an empty text and gets a score. A row without a doc_id is not held out, and can't be trained on.
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from sitewright.llm.common import map_batches, text_of, written
 
 BOUND = 4000
-ENTRIES = 2000
 SUPPORT = 5
 LEAST_WEIGHT = math.log(8)
 STEMS = range(3, 11)
@@ -125,7 +124,7 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", bound: int = BOUND, entries: int = ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", bound: int = BOUND, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("other")).where("y = other").select("id", "y")
     counts = {y: n for y, n in known.groupBy("y").count().collect()}
     if not counts.get(0) or not counts.get(1):
@@ -153,16 +152,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                 if first:
                     line = folded(t)
                     seen[y].update(stems(line))
-                    seen[y][""] += 1
                 if len(seen[0]) + len(seen[1]) > 400_000:
                     yield out()
         yield out()
 
     total = map_batches(rows, count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # The term "" holds the numbers of rows; a term needs support, and every kept one is well above the odds of chance.
-    kept = total.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") * 4 > F.col("clean") * (counts[1] * share[1] / (counts[0] * share[0]))) | (F.col("term") == "")).collect()
-    sizes = next(((r.clean, r.toxic) for r in kept if r.term == ""), (0, 0))
-    lexicon = chosen_terms([(r.term, r.clean, r.toxic) for r in kept if r.term], *sizes, entries)
+    sizes = {y: n for y, n in rows.where("first").groupBy("y").count().collect()}
+    weight = F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (sizes.get(0, 0) + 1))
+    # Only terms of the lexicon's kind come to the driver: the sample's size bounds how many have support.
+    kept = total.withColumn("weight", weight).where((F.col("toxic") >= SUPPORT) & (F.col("weight") >= LEAST_WEIGHT)).collect()
+    lexicon = chosen_terms([(r.term, r.toxic, r.weight) for r in kept])
     model = Model(lexicon, (0.0,) * 4, exceptions)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,18 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     return model._replace(curve=logistic(points[:, 1:], points[:, 0], np.where(points[:, 0] == 1, 1 / share[1], 1 / share[0])))
 
 
-def chosen_terms(terms: list[tuple[str, int, int]], clean_rows: int, toxic_rows: int, entries: int) -> dict[str, float]:
-    """Weights (log odds) of the most telling terms; of a word's beginnings, the most telling one only."""
-    rated = []
-    for term, clean, toxic in terms:
-        weight = math.log((toxic + 0.5) / (toxic_rows + 1)) - math.log((clean + 0.5) / (clean_rows + 1))
-        if toxic >= SUPPORT and weight >= LEAST_WEIGHT:
-            rated.append((-toxic * weight, -len(term.rstrip()), len(term), term, weight))  # of equals the longest beginning, whole word or not
+def chosen_terms(terms: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Weights of terms (term, toxic texts, log odds); of a word's beginnings, the most telling one only."""
+    rated = sorted((-toxic * weight, -len(term.rstrip()), len(term), term, weight) for term, toxic, weight in terms)  # of equals the longest beginning, whole word or not
     found: dict[str, float] = {}
     begun: set[str] = set()
-    for *_, term, weight in sorted(rated):
-        if len(found) == entries:
-            break
+    for *_, term, weight in rated:
         if term not in begun and not any(term[:k] in found for k in range(2, len(term))):
             found[term] = weight
             begun.update(term[:k] for k in range(2, len(term)))

@@ -1,6 +1,8 @@
+import math
 import random
+import zlib
 
-from sitewright.llm import toxicity
+from sitewright.llm import queries, toxicity
 from tests.llm.fixtures import docs, words
 
 
@@ -45,6 +47,30 @@ def test_learning_on_held_out_rows(spark):
     assert {r.doc_id for r in toxicity.without_toxic(frame, model).collect()} == {d for d, y in labels if not y}
 
 
+def test_query_by_brute_force(spark, tmp_path):
+    """The query's scores against the model applied text by text; exception phrases count through it; nothing but texts and labels is read."""
+    rows, labels = corpus()
+    rows = [(d, t + (" trash" if dict(labels)[d] and d % 2 else "")) for d, t in rows]
+    rows += [(9000, "please put it in the trash can of the thing"), (9001, "please put it in the trash of the thing"), (9002, "Tr4sh"), (9003, None), (None, "zonkhead")]
+    frame, marks = docs(spark, rows, clash=True), spark.createDataFrame([(d, 1, y) for d, y in labels], "doc_id long, quality int, toxic int")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.fit(frame, marks)
+    assert any(" trash".startswith(t.rstrip()) for t in model.lexicon)
+    got = {r.doc_id: r for r in queries.queries()["op3_toxicity"](spark, str(tmp_path)).collect()}
+    for d, t in rows:
+        line = toxicity.folded(t or "")
+        hits = [(k, k + len(term), w) for term, w in model.lexicon.items() for k in range(len(line)) if line.startswith(term, k)]
+        safe = [(k, k + len(p)) for p in map(toxicity.folded, model.exceptions) if not model.lexicon.get(p) for k in range(len(line)) if line.startswith(p, k)]
+        weights = [w for a, b, w in hits if not any(s <= a and b <= e for s, e in safe)]
+        total = sum(weights)
+        features = (math.log1p(total), total / math.sqrt(line.count(" ")), max(weights)) if weights else (0.0, 0.0, 0.0)
+        z = model.curve[0] + sum(c * f for c, f in zip(model.curve[1:], features))
+        assert abs(got[d].score - 1 / (1 + math.exp(-z))) < 1e-9 and got[d].predicted == int(got[d].score >= 0.5)
+        assert got[d].held_out == (d is not None and zlib.crc32(str(d).encode()) % 5 == 0)
+    assert got[9000].score < got[9001].score and got[9003].score < 0.5 < got[None].score
+
+
 def test_held_out_labels_are_not_read(spark):
     rows, labels = corpus(200)
     frame = docs(spark, rows)
