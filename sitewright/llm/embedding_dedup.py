@@ -4,12 +4,15 @@ A vector is turned by three rounds of random signs and fast Hadamard transforms;
 cross-polytope (the largest coordinate and its sign) is its hash. `depth` hashes make a key, several tables of keys
 are kept, and each vector also goes to its next-best keys (multiprobe). Every pair that shares a key is verified by
 cosine in double precision. Depth and tables follow the number of distinct vectors, so that a bucket holds a few hundred
-of them; the chance to meet at cosine 0.95 stays above 0.99 in each setting (tests measure it).
+of them; the chance to meet at cosine 0.95 stays above 0.97 in each setting (tests measure it).
 
 Equal vectors are one vector with a multiplicity. Crowded buckets are cut into runs, and each pair of runs meets in a
 task of its own. A pair that shares several keys counts at the smallest shared one only, so link counts can be summed
 from the buckets; what leaves a bucket is a count per vector and a spanning forest, never the pairs.
 
+Vectors of single precision are kept as they are, all others in double precision. Each is scaled by its largest component
+before its length is taken, so that very large and very small ones neither overflow nor vanish.
+
 Nulls: vectors that are null, empty, all zero, or hold a null, NaN or infinite component link with nothing. Vectors of
 different lengths don't link. A row without a vec_id takes no part: n_links 0, component_id null, kept true. Repeated
 rows count as rows of their own, so each is a link of the other. An empty table gives an empty result.
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from sitewright.llm.common import map_batches, shuffle_partitions, written
 from sitewright.llm.components import components, forest
@@ -85,12 +89,18 @@ def depth_for(vectors: int, dim: int) -> int:
     return depth
 
 
-def unit_vectors(values: pa.ChunkedArray) -> np.ndarray:
-    """Unit vectors in double precision from the bytes of vectors of one length."""
-    rows = np.frombuffer(b"".join(values.to_pylist()), np.float32).reshape(len(values), -1).astype(np.float64)
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision of rows that aren't zero."""
+    rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def unit_vectors(values: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The same from the bytes of vectors of one length."""
+    return unit(np.frombuffer(b"".join(values.to_pylist()), kind).reshape(len(values), -1))
+
+
 def bucket_links(tile: np.ndarray, side: np.ndarray, uid: np.ndarray, weight: np.ndarray, keys: np.ndarray, unit: np.ndarray, key: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(uid, links, root uid) of the vectors that have links, in rows ordered by tile. side: -1 in a tile of one run, else which run."""
     links, all_i, all_j = np.zeros(len(uid), np.int64), [], []
@@ -126,8 +136,10 @@ def bucket_links(tile: np.ndarray, side: np.ndarray, uid: np.ndarray, weight: np
 def near_duplicates(vectors: DataFrame, column: str = "embedding", key: str = "vec_id", least: float = LEAST_COSINE, tile: int = TILE, depth: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<float>").alias("v"))
-    sound = "vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < cast('infinity' as float)) and exists(v, x -> x <> 0)"
+    kind = "float" if isinstance(getattr(vectors.schema[column].dataType, "elementType", None), FloatType) else "double"
+    number = np.float32 if kind == "float" else np.float64
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast(f"array<{kind}>").alias("v"))
+    sound = f"vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < cast('infinity' as {kind})) and exists(v, x -> x <> 0)"
     good = F.coalesce(F.expr(sound), F.lit(False))
     grouped = rows.where(good).groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     distinct = written(grouped.select(F.monotonically_increasing_id().alias("uid"), "first_id", "copies", "v"), "vectors")
@@ -140,14 +152,12 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", key: str = "v
         for batch in batches:
             uid, copies, v = batch.column(0), batch.column(1), batch.column(2)
             sizes = np.diff(v.offsets.to_numpy())
-            flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            flat = v.flatten().to_numpy(zero_copy_only=False).astype(number)
             starts = np.r_[0, np.cumsum(sizes)]
             for width in np.unique(sizes):
                 pick = np.flatnonzero(sizes == width)
                 x = np.stack([flat[starts[k] : starts[k + 1]] for k in pick])
-                unit = x.astype(np.float64)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                keys = keys_of(unit, depth, tables, probes)
+                keys = keys_of(unit(x), depth, tables, probes)
                 yield pa.RecordBatch.from_arrays([uid.take(pa.array(pick)), copies.take(pa.array(pick)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["uid", "copies", "x", "keys"])
 
     dealt = written(map_batches(distinct.select("uid", "copies", "v"), hashed, "uid long, copies long, x binary, keys array<long>"), "keys")
@@ -169,10 +179,9 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", key: str = "v
                 part = table.filter(pa.array(sizes == width)).combine_chunks()
                 get = lambda name: part[name].to_numpy()
                 places = np.stack((get("key"), get("low"), get("high")), 1)
-                number = np.cumsum(np.r_[True, (places[1:] != places[:-1]).any(1)])
-                unit = unit_vectors(part["x"])
+                place_of = np.cumsum(np.r_[True, (places[1:] != places[:-1]).any(1)])
                 keys = np.stack(get("keys"))
-                found = bucket_links(number, get("side"), get("uid"), get("copies"), keys, unit, get("key"), least)
+                found = bucket_links(place_of, get("side"), get("uid"), get("copies"), keys, unit_vectors(part["x"], number), get("key"), least)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["uid", "links", "root"])
 
         for batch in batches:

@@ -49,6 +49,21 @@ def test_against_all_pairs(spark):
             assert got == expected
 
 
+def test_double_precision(spark):
+    """Components beyond single precision, and pairs whose cosine single precision would move over the threshold."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=16)
+    x /= np.linalg.norm(x)
+    u = rng.normal(size=16)
+    u -= (u @ x) * x
+    u /= np.linalg.norm(u)
+    at = lambda c: c * x + np.sqrt(1 - c * c) * u
+    rows = [(1, x), (2, at(0.95 + 1e-12)), (3, -x * 1e200), (4, -at(0.95 - 1e-12) * 1e-200), (5, [1e39] * 3), (6, [2e39, 2e39, 2.1e39]), (7, [1e-46, 0, 0]), (8, [0, 1e-46, 0])]
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in rows], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ED.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 64))
