@@ -61,7 +61,7 @@ def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+    return warc.read_archives(spark, path).where(F.col("type").isin("response", "revisit")).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

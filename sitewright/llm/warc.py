@@ -5,9 +5,11 @@ addresses may hold spaces) and the declared lengths; nothing is guessed from the
 record of the equivalent type (warcinfo, response, resource or revisit) with a synthesised identifier, an ISO date,
 and block and payload digests.
 
-`archive` takes pages through that converter: every Arrow batch of pages is laid out as ARC archives of either version,
-parsed and converted, and the WARC records are written to the shared folder as gzip files by Spark's own text writer,
-whose line separator is the mark that ends a WARC record. `read_archives` reads such files back record by record.
+`archive` takes pages through that converter: every batch of pages is laid out as ARC archives of either version, parsed
+and converted, version blocks to warcinfo records, and the WARC records are written to the shared folder as gzip files by
+Spark's own text writer, whose line separator is the mark that ends a WARC record. `read_archives` reads gzip files back by
+the same mark, piece by piece, and puts records together by their declared lengths, so a task holds a record and a batch at
+a time, however large the file. A file is one gzip member: records are read in order, not addressed one by one.
 
 Equal payloads of `least_bytes` or more are stored once: the page with the largest page_id keeps the payload, the
 others become revisit records that refer to it. Which pages those are is found from digests alone, combined on the map
@@ -26,9 +28,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,6 +263,7 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     marked = rows.join(same, "digest", "left").select("page_id", "url", "html", F.when(F.col("newest").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("newest"))), F.col("newest")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for batch in batches:
             parts: dict[int, list] = {1: [], 2: []}
             for k, (page, address, text, older) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
@@ -269,8 +274,11 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
                 parts[1 + k % 2].append((fields, body, older))
             out = []
             for version, records in parts.items():
-                parsed = parse_arc(arc_file(version, [r[:2] for r in records]))
-                next(parsed)
+                if not records:
+                    continue
+                number += 1
+                first, *parsed = parse_arc(arc_file(version, [r[:2] for r in records], f"pages-{TaskContext.get().partitionId()}-{number}.arc"))
+                out.append(warc_text(to_warc(first)).decode())
                 out += [warc_text(to_warc(record, older)).decode() for record, (_, _, older) in zip(parsed, records, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
@@ -286,22 +294,29 @@ def archive(pages: DataFrame, path: str | None = None, **columns: str | int) ->
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, type, url, date, page_id, payload_bytes, payload_digest, refers_to) of each record. A payload is held against its digest."""
+    """(record_id, type, url, date, page_id, payload_bytes, payload_digest, refers_to) of each record. A payload is held against its digest.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+    Gzip files are read as a stream; files without compression, which Spark would cut anywhere, whole, and so below 2 GB each.
+    """
+    schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+
+    def rows_of(records: Iterator[WarcRecord]) -> Iterator[pa.RecordBatch]:
+        found = map(described, records)
+        while some := list(islice(found, 1000)):
+            yield pa.RecordBatch.from_pylist(some, schema)
+
+    def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows_of(parse_warc(piece.as_py() + WARC_END.encode() for batch in batches for piece in batch.column(0)))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for record in parse_warc(inflated(content.as_py())):
-                    rows.append(described(record))
-                    if len(rows) == 1000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return map_batches(files, run, "record_id string, type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long")
+                yield from rows_of(parse_warc(inflated(content.as_py())))
+
+    kinds = "record_id string, type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long"
+    pieces = spark.read.option("lineSep", WARC_END).option("pathGlobFilter", "*.gz").text(path).select(F.col("value").cast("binary").alias("value"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path).select("content")
+    return map_batches(pieces, in_pieces, kinds).unionByName(map_batches(files, whole, kinds))
 
 
 def described(record: WarcRecord) -> dict:

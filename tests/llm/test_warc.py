@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -40,14 +41,37 @@ def test_files_are_warc(spark, tmp_path):
     (file,) = tmp_path.glob("w/part-*.gz")
     data = gzip.open(file).read()
     records = list(warc.parse_warc(iter([data])))
-    assert len(records) == 4 and data.startswith(b"WARC/1.0\r\n") and data.endswith(b"\r\n\r\n")
+    infos = [r for r in records if r.headers["WARC-Type"] == "warcinfo"]
+    assert len(infos) == 2 and len({r.headers["WARC-Record-ID"] for r in infos}) == 2 and b"description: converted from ARC version 2" in infos[1].block
+    assert len(records) == 6 and data.startswith(b"WARC/1.0\r\n") and data.endswith(b"\r\n\r\n")
     for size in (1, 7, 100):
         assert list(warc.parse_warc(data[k : k + size] for k in range(0, len(data), size))) == records
+    records = [r for r in records if r not in infos]
     kinds = {r.headers["WARC-Target-URI"]: r.headers["WARC-Type"] for r in records}
     assert kinds == {"http://a/": "response", "http://b/": "revisit", "http://b/2": "revisit", "http://c d/%0A": "response"}
     assert len({r.headers["WARC-Record-ID"] for r in records}) == 4 and path
 
 
+def test_streams_of_pieces(spark, tmp_path):
+    """Payloads full of the mark that ends records, one large page, and files in several members or without compression."""
+    rng = random.Random(3)
+    rows = [(k, f"http://x/{k}", "".join(rng.choice(("\r\n\r\n", "\r\n", "\r", "\n", "a", "\r\n\r\n\r\n\r\n", "WARC/1.0\r\n")) for _ in range(rng.randint(0, 60)))) for k in range(300)]
+    rows.append((1000, "http://x/big", "ä\r\n\r\n" * 3_000_000))
+    path = warc.archive(spark.createDataFrame(rows, PAGES).repartition(2), f"file://{tmp_path}/w")
+    expected = sorted((k, len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for k, _, h in rows)
+    seen = lambda p: sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, p).where("type <> 'warcinfo'").collect())
+    assert seen(path) == expected
+    (tmp_path / "v").mkdir()
+    for number, file in enumerate(sorted(tmp_path.glob("w/part-*.gz"))):
+        data = gzip.open(file).read()
+        if number % 2:
+            (tmp_path / f"v/{number}.warc").write_bytes(data)
+        else:
+            records = [warc.warc_text(r) + b"\r\n\r\n" for r in warc.parse_warc(iter([data]))]
+            (tmp_path / f"v/{number}.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    assert seen(f"file://{tmp_path}/v") == expected
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_headers_of_either_version(version):
     records = [({"url": "http://a b/c", "ip_address": "1.2.3.4", "archive_date": "20240131123059", "content_type": "text/html", "result_code": "200", "checksum": "abc"}, b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\nbody\n\nwith lines"), ({"url": "dns:x", "ip_address": "-", "archive_date": "1999", "content_type": "text/dns"}, b"")]
