@@ -2,46 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
+from sitewright.stages import drop_path, shared_dir, written, written_at
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the cluster names none (tests) is a local one made."""
-    named = spark.conf.get(CHECKPOINT_CONF, None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="sitewright-")
-        spark.conf.set(CHECKPOINT_CONF, named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: a lost executor costs no recomputation.
-
-    Results read such tables when they are used, so they stay until the folder stages/<application id> is removed.
-    """
-    return written_at(df, name)[0]
-
-
-def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stages/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path), path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a stage that nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["drop_path", "joined_apart", "map_batches", "shared_dir", "shuffle_partitions", "table", "text_of", "written", "written_at"]
+ROWS_AT_A_TIME, BYTES_AT_A_TIME = 1000, 16 << 20
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -68,15 +38,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def limit_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Bound what a Python worker holds at a time: rows of a batch, and its bytes where Spark can bound them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df by mapInArrow. What fn sees at a time is bounded here, in rows and bytes, and not by the session's settings; the engine's own bound on a batch is 64 MB."""
 
+    def some_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, min(ROWS_AT_A_TIME, batch.num_rows * BYTES_AT_A_TIME // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    limit_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(some_at_a_time(batches)), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

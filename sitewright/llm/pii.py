@@ -28,6 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewright.functions.arrays import greater, let, running
 from sitewright.llm.common import text_of, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -51,31 +52,6 @@ SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
 TERM_TYPE = "struct<start:bigint,end:bigint,value:string,level:string>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def later(a: Column, b: Column) -> Column:
-    return F.greatest(a, b)
-
-
-def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """The value that op has made of an array of whole numbers (none negative) so far, at each of its places."""
-    zero = F.lit(0).cast("bigint")
-
-    def folded(first: Column, array: Column) -> Column:
-        return F.aggregate(array, F.array(first), lambda done, x: F.concat(done, F.array(op(F.element_at(done, F.lit(-1)), x))))
-
-    def by_blocks(array: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(array))).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / width).cast("int")), lambda k: F.slice(array, k * width + 1, width))
-        whole = lambda blocks: folded(zero, F.transform(blocks, lambda x: F.aggregate(x, zero, op)))
-        return let(blocks, lambda blocks: let(whole(blocks), lambda before: F.flatten(F.transform(blocks, lambda x, k: F.slice(folded(F.get(before, k), x), F.lit(2), F.size(x))))))
-
-    return let(values, lambda array: F.when(F.size(array) > 0, by_blocks(array)).otherwise(F.array().cast("array<bigint>")))
-
-
 def matches(text: Column, pattern: str, kind: int, offset: Column | None = None, wanted: Callable[[Column], Column] | None = None) -> Column:
     """Spans (kind, start, end, value) of all matches, leftmost and not overlapping; of those whose value is wanted, if asked."""
     offset = F.lit(0).cast("bigint") if offset is None else offset.cast("bigint")
@@ -92,7 +68,7 @@ def matches(text: Column, pattern: str, kind: int, offset: Column | None = None,
         return found if wanted is None else F.filter(found, lambda y: y.isNotNull())
 
     sizes = lambda x: F.transform(x.found, lambda value, k: (F.char_length(F.get(x.gaps, k)) + F.char_length(value)).cast("bigint"))
-    return let(both, lambda x: F.when(F.size(x.found) > 0, let(running(sizes(x), lambda a, b: a + b), lambda ends: spans(x, ends))).otherwise(none))
+    return let(both, lambda x: F.when(F.size(x.found) > 0, let(running(sizes(x)), lambda ends: spans(x, ends))).otherwise(none))
 
 
 def blocks_of(text: Column) -> Column:
@@ -186,7 +162,7 @@ def free_terms(base: str = "base", terms: str = "terms") -> Column:
     """The terms that overlap no base span, by start. In the order of base spans' starts and terms' ends, a term is free if no base span so far ends behind its start."""
     begun = F.transform(base, lambda b: F.struct(b.start.alias("at"), F.lit(1).alias("later"), b.end.alias("reach"), F.lit(None).cast(TERM_TYPE).alias("term")))
     ended = F.transform(terms, lambda t: F.struct(t.end.alias("at"), F.lit(0).alias("later"), F.lit(0).cast("bigint").alias("reach"), t.alias("term")))
-    reach = lambda events: running(F.transform(events, lambda e: e.reach), later)
+    reach = lambda events: running(F.transform(events, lambda e: e.reach), greater)
     free = lambda events, reach: F.transform(events, lambda e, k: F.when(F.get(reach, k) <= e.term.start, e.term))
     found = let(F.array_sort(F.concat(begun, ended)), lambda events: F.filter(let(reach(events), lambda r: free(events, r)), lambda t: t.isNotNull()))
     return F.when((F.size(base) == 0) | (F.size(terms) == 0), F.col(terms)).otherwise(found)
@@ -212,5 +188,5 @@ def sanitised(docs: DataFrame, text: str = "text", key: str = "doc_id", **option
         end = F.element_at(reach, F.lit(-1))
         return F.concat(F.array_join(kept, ""), part(blocks, end, F.char_length("t") - end))
 
-    done = let(blocks_of(F.col("t")), lambda blocks: let(running(F.transform("changes", lambda c: c.end), later), lambda reach: rewritten(blocks, reach)))
+    done = let(blocks_of(F.col("t")), lambda blocks: let(running(F.transform("changes", lambda c: c.end), greater), lambda reach: rewritten(blocks, reach)))
     return changed.select("doc_id", F.when(F.size("changes") > 0, done).otherwise(F.col("t")).alias("text"))

@@ -433,8 +433,9 @@ def rows_of_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", sim
     of_text = [F.min(c).alias(c) for c in ("n", *WIDE)]
     codes = written(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("uid"), F.count("*").alias("rows"), *of_text), "codes")
     exact = written(components(near_links(codes.select("fp").distinct(), RADIUS, tile)), "exact")
-    grouped = codes.join(exact, codes.fp == exact.node, "left").select("uid", F.coalesce("root", "fp").alias("g"))
-    of_print = grouped.join(grouped.groupBy("g").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1"), "g").select(F.col("uid").alias("a"), "b")
+    grouped = written(codes.join(exact, codes.fp == exact.node, "left").select("uid", F.coalesce("root", "fp").alias("g")), "grouped")
+    of_group = written(grouped.groupBy("g").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1"), "of_group")
+    of_print = joined_apart(grouped, of_group, ["g"], "n").select(F.col("uid").alias("a"), "b")
     # Texts with one set of shingles are one entry of the similarity search.
     sets = written(codes.groupBy("digest").agg(F.min("uid").alias("uid"), *of_text), "sets")
     of_set = codes.join(sets.select("digest", F.col("uid").alias("b")), "digest").select(F.col("uid").alias("a"), "b")

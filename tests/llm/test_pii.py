@@ -102,7 +102,7 @@ def test_running_values(spark):
     rng = random.Random(4)
     arrays = [[], [5], [0, 0], *([rng.randint(0, 50) for _ in range(n)] for n in (2, 3, 4, 5, 9, 10, 17, 100, 1000))]
     frame = spark.createDataFrame([(a,) for a in arrays], "a array<bigint>")
-    rows = frame.select("a", pii.running(F.col("a"), lambda x, y: x + y).alias("sums"), pii.running(F.col("a"), pii.later).alias("most")).collect()
+    rows = frame.select("a", pii.running(F.col("a")).alias("sums"), pii.running(F.col("a"), pii.greater).alias("most")).collect()
     for r in rows:
         assert r.sums == list(itertools.accumulate(r.a)) and r.most == list(itertools.accumulate(r.a, max))
 

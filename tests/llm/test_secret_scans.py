@@ -78,6 +78,27 @@ def test_pieces_of_runs(spark):
     assert [clean[k] for k in range(7)] == ["AWS_SECRET_ACCESS_KEY=<SECRET>", "see /x?sig=<SECRET>&a=b", "DB_PASS=<SECRET> end", "client_key=<SECRET>==<SECRET>", "<SECRET><SECRET>", "a=b=c", "=" * 40]
 
 
+def test_query_by_brute_force(spark, tmp_path):
+    """Counts, digest and strings of texts with spans of every kind."""
+    rng = random.Random(11)
+    rows, added = [], {}
+    for k in range(40):
+        key = random_string(rng, 64)
+        head = f"Token: {random_string(rng, 12)} AKIA{'IOSFODNN7EXAMPLE' * (k % 3)} é {'0123456789abcdef' * (k % 4)} "
+        rows.append(head + f"run {key} end")
+        added[k] = (len(head) + 4, 3, len(head) + 68)
+    docs(spark, rows, clash=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.queries()["op1_secret_scans"](spark, str(tmp_path)).collect()}
+    show = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'random')[k]}:{s}:{e}" for s, k, e in spans)
+    found = 0
+    for k, text in enumerate(rows):
+        base, r = plain(text), got[k]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == n for x in base) for n in range(3)) and r.base_sha256 == hashlib.sha256(show(base).encode()).hexdigest()
+        assert r.spans in (show(sorted([*base, added[k]])), show(base))
+        found += r.spans != show(base)
+    assert found >= 36
+
+
 def test_query(spark, tmp_path):
     docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.queries()["op1_secret_scans"](spark, str(tmp_path)).collect()
