@@ -1,6 +1,7 @@
 """Best-fit packing of documents into training sequences under conflicts (operator 4).
 
-A sequence (bin) of `capacity` units never holds two documents of one source or two copies of one text. Documents
+A sequence (bin) of `capacity` units never holds two documents of one source or two of one duplicate cluster: copies of
+one text or, with the clusters of `near_clusters`, near copies too. Documents
 longer than a bin are cut: full pieces are bins of their own, and the rest is packed like any other document.
 
 Bins are kept in the order of what is left in them. Each bin carries a bitmap of its sources and one of its duplicate
@@ -27,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import map_batches, shuffle_partitions, text_of, written
+from sitewright.llm.common import joined_apart, map_batches, shuffle_partitions, text_of, written
+from sitewright.llm.simhash_dedup import near_duplicates
 
 CAPACITY = 8192
 SHARD = 16384
@@ -109,14 +111,24 @@ def pack(lengths: list[int], sources: list[str | None], clusters: list[int], cap
     return out
 
 
-def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", units: Column | None = None, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def near_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(cluster, component, copies): for each text's hash the component of near-duplicates that it lies in, and how many rows have it."""
+    hashed = docs.select(F.xxhash64(text_of(text)).alias("text_hash"), F.col(text).alias("whole"))
+    found = near_duplicates(hashed, "whole", "text_hash")
+    return written(found.groupBy(F.col("doc_id").alias("cluster")).agg(F.min("component_id").alias("component"), F.count("*").alias("copies")), "clusters")
+
+
+def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", units: Column | None = None, capacity: int = CAPACITY, shard: int = SHARD, clusters: DataFrame | None = None) -> DataFrame:
     """One row for each piece: (doc_id, part, part_start, part_units, bin_shard, bin, bin_offset).
 
     units: what a document takes; UTF-8 bytes by default, as a byte-level model reads them. (bin_shard, bin) is a sequence.
+    clusters: those of `near_clusters`; without them only equal texts are one cluster.
     """
     units = F.octet_length(text_of(text)) if units is None else units
     items = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(units, F.lit(0)).cast("long").alias("units"), F.col(source).cast("string").alias("source"), F.xxhash64(text_of(text)).alias("cluster"))
     items = written(items.withColumn("row", F.monotonically_increasing_id()), "items")
+    if clusters is not None:
+        items = joined_apart(items, clusters, ["cluster"], "copies").select("doc_id", "units", "source", F.col("component").alias("cluster"), "row")
     shards = max(1, -(-items.count() // shard))
     dealt = items.withColumn("bin_shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)))
 

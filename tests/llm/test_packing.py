@@ -1,8 +1,11 @@
 import random
 from collections import defaultdict
 
-from sitewright.llm import packing
-from tests.llm.fixtures import docs
+from pyspark.sql import functions as F
+
+from sitewright.llm import packing, queries
+from sitewright.llm.simhash_dedup import near_duplicates
+from tests.llm.fixtures import docs, words
 
 
 def naive(lengths, sources, clusters, capacity):
@@ -73,5 +76,34 @@ def test_hot_source_and_shards(spark):
     assert len(hot) == len(set(hot))
 
 
+def test_query_keeps_conflicts_apart(spark, tmp_path):
+    """No bin of the whole table holds two rows of one source, or two of one component of near-duplicates."""
+    base = [words(k, 120) for k in range(30)]
+    rows = [(k, base[k % 30] + (f" extra{k}" if k % 4 == 1 else "")) for k in range(240)] + [(500, None), (501, ""), (None, "no id"), (7, base[7])]
+    frame = docs(spark, rows).withColumn("source", F.expr("case when doc_id % 3 = 0 then 'hot' when doc_id % 7 <> 1 then concat('s', doc_id) end"))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.queries()["op4_best_fit_packing"](spark, str(tmp_path)).collect()
+    source = {r.doc_id: r.source for r in frame.collect()}
+    component = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, [r for r in rows if r[0] is not None])).collect()}
+    assert any(component[d] != d for d, t in rows if d is not None and "extra" in (t or ""))
+    bins = defaultdict(list)
+    for r in found:
+        if r.bin is not None:
+            bins[r.bin_shard, r.bin].append(r.doc_id)
+    for members in bins.values():
+        assert len({source[d] for d in members}) == len(members)
+        clusters = [component[d] for d in members if d is not None]
+        assert len(set(clusters)) == len(clusters)
+    assert sum(r.part_units for r in found) == sum(len((t or "").encode()) for _, t in rows) and any(len(m) > 3 for m in bins.values())
+
+
+def test_bins_of_shards_against_one_shard(spark):
+    """Cutting the table into shards costs few bins."""
+    frame = docs(spark, [(k, words(k, random.Random(k).randint(1, 400))) for k in range(1200)]).withColumn("source", F.expr("concat('s', doc_id % 200)"))
+    many = lambda shard: packing.packed(frame, shard=shard).select("bin_shard", "bin").where("bin is not null").distinct().count()
+    one, four = many(10**6), many(300)
+    assert one <= four <= one * 1.05 + 4
+
+
 def test_empty(spark):
     assert packing.packed(docs(spark).where("false")).count() == 0
