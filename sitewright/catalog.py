@@ -654,6 +654,9 @@ def _(spark, d):
     return base_rows(spark, d).select("contig", "pos", site_id(F.col("contig"), F.col("pos")).alias("site")).distinct()
 
 
+from sitewright import catalog_files  # noqa: E402, F401  (registers its queries)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

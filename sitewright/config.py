@@ -116,8 +116,9 @@ def require_files(spark: SparkSession, *paths: str) -> None:
 
 
 def validate_call_inputs(spark: SparkSession, matrix: str, fasta: str, known_sites: str) -> None:
-    """The matrix folder with its three tables, the FASTA with its index, and the list of known sites exist."""
-    require_files(spark, *(f"{matrix}/{part}" for part in ("obs", "var", "entries")), fasta, f"{fasta}.fai", known_sites)
+    """The matrix (an h5ad file, or the folder with its three tables), the FASTA with its index, and the list of known sites exist."""
+    parts = [matrix] if matrix.endswith(".h5ad") else [f"{matrix}/{part}" for part in ("obs", "var", "entries")]
+    require_files(spark, *parts, fasta, f"{fasta}.fai", known_sites)
 
 
 def validate_output(spark: SparkSession, path: str, overwrite: bool = False) -> None:

@@ -281,6 +281,55 @@ def test_matrices(spark, tmp_path):
         matrices.read_matrix(spark, f"{tmp_path}/none")
 
 
+def test_h5ad_by_a_stand_in(spark, tmp_path, monkeypatch):
+    """What goes into and comes out of the library, which isn't installed here, by a stand-in for it."""
+    import sys
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    from tests.test_golden import golden_matrix
+
+    class Sparse:
+        def __init__(self, content, shape):
+            self.data, (self.row, self.col) = np.array(content[0]), map(np.array, content[1])
+
+        def tocoo(self):
+            return self
+
+        def astype(self, kind):
+            return self
+
+    files = {}
+
+    class AnnData:
+        def __init__(self, X=None, obs=None, var=None, layers=None):
+            self.X, self.obs, self.var, self.layers, self.n_obs, self.n_vars = X, obs, var, layers, len(obs), len(var)
+
+        def write_h5ad(self, path):
+            files[path] = self
+            open(path, "w").close()
+
+    monkeypatch.setitem(sys.modules, "anndata", SimpleNamespace(AnnData=AnnData, read_h5ad=files.__getitem__))
+    sparse = SimpleNamespace(csr_matrix=Sparse)
+    monkeypatch.setitem(sys.modules, "scipy", SimpleNamespace(sparse=sparse))
+    monkeypatch.setitem(sys.modules, "scipy.sparse", sparse)
+    m = golden_matrix(spark)
+    path = f"{tmp_path}/m.h5ad"
+    matrices.write_matrix(m, path)
+    back = matrices.read_matrix(spark, path)
+    assert back.layers == m.layers and tuples(back.var, "site") == tuples(m.var, "site") and tuples(back.obs, "barcode") == tuples(m.obs, "barcode")
+    named = lambda x: sorted((r.barcode, r.site, *(r[c] for c in m.layers)) for r in x.entries.where(" + ".join(m.layers) + " > 0").join(x.obs, "cell_id").join(x.var, "site_id").collect())
+    assert named(back) == named(m)
+    files[path] = AnnData(None, pd.DataFrame(index=[]), pd.DataFrame(index=["a:1"]), {})
+    with pytest.raises(EmptyData):
+        matrices.read_matrix(spark, path)
+    monkeypatch.setattr(matrices, "MOST_ENTRIES", 0)
+    with pytest.raises(UnsupportedFormat, match="too many"):
+        matrices.write_matrix(m, path)
+
+
 def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     from sitewright import catalog
     from sitewright.operators.pileup import pileup
