@@ -12,13 +12,13 @@ miss every table. Equal fingerprints are one entry with a count. A front that ve
 meet in tasks of their own.
 
 `with_next` gives each row of a table its successor by doc_id without bringing the table together: rows are dealt by
-ranges of doc_id and sorted there; the last row of a range, whose successor is elsewhere, is handed on as an exception.
+ranges of doc_id and a hash of the text, so many rows of one doc_id, or without one, are split too, and sorted there; the last row of a range, whose successor is elsewhere, is handed on as an exception.
 
 `near_counts` gives how many rows each query has within the radius, not the pairs: the tables' runs are searched in place,
 and a pair counts in the first table where its blocks agree. The radius of 7 is the widest that blocks of 16 bits serve.
 
 Nulls: a null text is an empty text, with no terms and the fingerprint of all zeros. Rows without a doc_id come first
-in the order. Rows with the same doc_id follow each other in the order of their texts. A table of one row is its own
+in the order. Rows with the same doc_id follow each other in the order of their texts' XXH64, then of the texts. A table of one row is its own
 successor. An empty table gives an empty result.
 """
 
@@ -110,8 +110,8 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each row's fingerprint, that of its edited text, and its likeness to both neighbours: see FIELDS."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("t"))
-    sorted_rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "t")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("t"), F.xxhash64(text_of(text)).alias("h"))
+    sorted_rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "t")
     schema = pa.schema([*FIELDS, ("place", pa.int64()), ("head", pa.string()), ("tail", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

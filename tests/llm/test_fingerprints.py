@@ -2,6 +2,8 @@ import hashlib
 import math
 import random
 
+import xxhash
+
 from sitewright.llm import fingerprints as FP
 from sitewright.llm import queries
 from tests.llm.fixtures import as_rows, docs, texts, words
@@ -9,8 +11,6 @@ from tests.llm.fixtures import as_rows, docs, texts, words
 
 def plain_print(text):
     """Bit by bit."""
-    import xxhash
-
     found = text.lower().split()
     counts = {}
     for t in [*found, *(f"{a} {b}" for a, b in zip(found, found[1:]))]:
@@ -44,9 +44,10 @@ def test_table_by_brute_force(spark, tmp_path):
     frame = docs(spark, clash=True)
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.queries()["op6_document_fingerprints"](spark, str(tmp_path)).collect()
-    ordered = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs(spark).collect()))
+    place = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64
+    ordered = sorted(((r.doc_id is not None, r.doc_id or 0, place(r.text or ""), r.text or "") for r in docs(spark).collect()))
     expected = []
-    for (has, d, t), (_, _, following) in zip(ordered, ordered[1:] + ordered[:1]):
+    for (has, d, _, t), (_, _, _, following) in zip(ordered, ordered[1:] + ordered[:1]):
         new = FP.edited(t, following)
         own, changed, after = (FP.fingerprint(x) for x in (t, new, following))
         expected.append((d if has else None, len(t), hashlib.sha256(new.encode()).hexdigest(), own.hex(), changed.hex(), round(FP.likeness(own, changed), 9), round(FP.likeness(own, after), 9)))
