@@ -13,9 +13,30 @@ from sitewright.functions.tags import as_u32
 
 ENTRY = ("row", "col", "value")
 
+#: Bytes of input files for each task that sums places: some hundred thousand entries.
+PIECE = 4 << 20
+#: Estimates above this stand for sizes that the planner doesn't know.
+UNKNOWN = 1 << 50
+
+
+def pieces(df: DataFrame) -> int:
+    """How many tasks sum the places of df: by the size of what it reads, so that the memory of one doesn't grow with it.
+
+    Nothing is run for it. What has no known size, as rows of an RDD or a cache, gets the session's number of partitions at least.
+    """
+    spark, leaves = df.sparkSession, df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = [(leaf.nodeName(), int(leaf.stats().sizeInBytes())) for leaf in map(leaves.apply, range(leaves.size()))]
+    known = [size for name, size in found if name not in ("LogicalRDD", "InMemoryRelation") and size < UNKNOWN]
+    least = spark.sparkContext.defaultParallelism if len(known) == len(found) else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-sum(known) // PIECE))
+
 
 def from_triplets(triplets: DataFrame, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
-    """Equal places summed. With sizes given, a place outside them raises when the table is used."""
+    """Equal places summed. With sizes given, a place outside them raises when the table is used.
+
+    Places are dealt out before they are summed: where few of them repeat, sums on the map side save nothing, and the number
+    of tasks is then the session's and, with adaptive execution, that of the cores, however many places there are.
+    """
     if n_rows is not None or n_cols is not None:
         inside = F.lit(True)
         for name, size in (("row", n_rows), ("col", n_cols)):
@@ -23,7 +44,7 @@ def from_triplets(triplets: DataFrame, n_rows: int | None = None, n_cols: int |
                 inside = inside & F.col(name).between(0, size - 1)
         checked = F.when(inside, F.col("row")).otherwise(F.raise_error(F.lit("an entry lies outside the matrix")).cast("bigint"))
         triplets = triplets.withColumn("row", checked)
-    return triplets.groupBy("row", "col").agg(as_u32(F.sum("value")).alias("value"))
+    return triplets.repartition(pieces(triplets), "row", "col").groupBy("row", "col").agg(as_u32(F.sum("value")).alias("value"))
 
 
 def add(a: DataFrame, b: DataFrame, shapes: tuple[tuple[int, int], tuple[int, int]] | None = None) -> DataFrame:

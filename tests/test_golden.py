@@ -3,6 +3,7 @@
 import math
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,6 +242,41 @@ def test_sparse(spark):
         X.from_triplets(a, 3, 6).collect()
 
 
+def places(spark, path, n):
+    """n different places and as many again that repeat, in files; with their sums."""
+    spark.range(2 * n).selectExpr(f"id % {n} AS row", f"id % {n} * 7 % 1009 AS col", f"id % {n} % 5 + 1 AS value").write.parquet(str(path))
+    return spark.read.parquet(str(path)), sorted((k, k * 7 % 1009, 2 * (k % 5 + 1)) for k in range(n))
+
+
+def most_in_a_task(df):
+    return max(n for _, n in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_tasks_that_sum_places_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "PIECE", 1 << 13, raising=False)
+    most = {}
+    for n in (5_000, 20_000):
+        a, expected = places(spark, tmp_path / str(n), n)
+        m = X.from_triplets(a)
+        added = X.add(m, X.transpose(m))
+        sums = Counter()
+        for row, col, value in expected:
+            sums[row, col] += value
+            sums[col, row] += value
+        assert tuples(m) == expected and tuples(added) == sorted((*k, v) for k, v in sums.items())
+        most[n] = most_in_a_task(m), most_in_a_task(added)
+    assert all(large < 2 * small for small, large in zip(*most.values(), strict=True)), most
+
+
+def test_pieces_where_sizes_are_unknown(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 2, 3)], TRIPLETS)  # an RDD's rows: no size
+    kept = spark.range(10).selectExpr("id AS row", "id AS col", "id AS value").cache()
+    a, _ = places(spark, tmp_path / "a", 10)
+    many = X.from_triplets(a).crossJoin(spark.range(3))  # the planner's estimate is a product; the files' sizes aren't
+    assert [X.pieces(x) for x in (frame, kept, a.union(frame), many)] == [4] * 4
+    kept.unpersist()
+
+
 def test_editing_types():
     assert {EditingType.parse(x) for x in ("ag", "AG", "Ag")} == {EditingType.AG} and str(EditingType.CT) == "ct" and len(EditingType) == 6
     with pytest.raises(InvalidInput):
