@@ -268,6 +268,19 @@ def test_tasks_that_sum_places_do_not_grow_with_the_input(spark, tmp_path, monke
     assert all(large < 2 * small for small, large in zip(*most.values(), strict=True)), most
 
 
+def test_tasks_that_mask_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "PIECE", 1 << 13, raising=False)
+    most = {}
+    for n in (5_000, 20_000):
+        a, expected = places(spark, tmp_path / str(n), n)
+        masked = X.mask(X.from_triplets(a), X.from_triplets(a.where("row % 3 = 0 OR value = 5")))
+        # places of both sides are dealt alike, so the join moves nothing again
+        assert masked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert tuples(masked) == [x for x in expected if x[0] % 3 == 0 or x[2] == 10]
+        most[n] = most_in_a_task(masked)
+    assert most[20_000] < 2 * most[5_000], most
+
+
 def test_pieces_where_sizes_are_unknown(spark, tmp_path):
     frame = spark.createDataFrame([(1, 2, 3)], TRIPLETS)  # an RDD's rows: no size
     kept = spark.range(10).selectExpr("id AS row", "id AS col", "id AS value").cache()
